@@ -154,3 +154,47 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
 def utf8(values) -> list[bytes]:
     """Texts of an Arrow or pandas column as UTF-8; null is empty."""
     return [v.encode("utf-8", "surrogatepass") if isinstance(v, str) else b"" for v in values]
+
+
+def with_arrow(df: DataFrame, needs: list[str], fields: list, fn, slice_bytes: int = 4 << 20) -> DataFrame:
+    """``df`` with columns that ``fn`` computes from the columns ``needs``, batch by batch.
+
+    ``fn`` takes one list of Python values per needed column and returns one list per field. It
+    sees slices of at most ``slice_bytes`` (one larger row comes alone), so memory stays bounded
+    whatever the batch size. Columns of ``df`` named like a field are replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    names = [f.name for f in fields]
+    own = [f for f in df.schema.fields if f.name not in names]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    at = [df.columns.index(c) for c in needs]
+    keep = [df.columns.index(f.name) for f in own]
+    schema = StructType([*own, *fields])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, slice_bytes):
+                got = fn(*[part.column(i).to_pylist() for i in at])
+                columns = [part.column(i) for i in keep] + [pa.array(v, k) for v, k in zip(got, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in own] + names)
+
+    return df.mapInArrow(run, schema)
+
+
+def slices(batch, most: int):
+    """Parts of an Arrow batch of at most ``most`` bytes each, or of one row."""
+    n, per = batch.num_rows, max(1, batch.nbytes)
+    if n == 0:
+        return
+    rows = max(1, min(n, n * most // per))
+    for i in range(0, n, rows):
+        part = batch.slice(i, rows)
+        if part.nbytes > 2 * most and part.num_rows > 1:
+            half = part.num_rows // 2
+            for piece in (part.slice(0, half), part.slice(half)):
+                yield from slices(piece, most)
+        else:
+            yield part

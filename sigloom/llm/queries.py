@@ -7,8 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import table
+from sigloom.llm.common import staged, table
+from sigloom.llm.jpeg_media import thumbnail_columns, to_media
 from sigloom.llm.line_dedup import dedup_lines
+from sigloom.llm.secret_scan import find_secrets
+from sigloom.llm.warc_archive import read_archives, write_archives
+
+
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = thumbnail_columns(to_media(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = staged(write_archives(table(spark, sf_dir, "pages"), min_bytes=100), "warc")
+    return read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _spelled(spans: str):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _count(kind: str):
+    return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", _count("assign"), _count("access"), _count("hex"), F.sha2(_spelled("base_spans"), 256).alias("base_sha256"), _spelled("secret_spans").alias("spans"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +42,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -39,9 +76,12 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_jpeg_media": op3_jpeg_media,
+        "op6_warc_archive": op6_warc_archive,
+        "op7_secret_scan": op7_secret_scan,
         "op8_line_dedup": op8_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op6_warc_archive": OP6_SQL, "op8_line_dedup": OP8_SQL}
