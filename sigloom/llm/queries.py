@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import staged, table
+from sigloom.llm.html_extract import extract_text
 from sigloom.llm.jpeg_media import thumbnail_columns, to_media
 from sigloom.llm.line_dedup import dedup_lines
+from sigloom.llm.near_dedup import near_duplicates
 from sigloom.llm.secret_scan import find_secrets
 from sigloom.llm.warc_archive import read_archives, write_archives
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = thumbnail_columns(to_media(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -42,6 +48,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 OP6_SQL = r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -76,10 +86,12 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_extract": op2_html_extract,
         "op3_jpeg_media": op3_jpeg_media,
         "op6_warc_archive": op6_warc_archive,
         "op7_secret_scan": op7_secret_scan,
         "op8_line_dedup": op8_line_dedup,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
