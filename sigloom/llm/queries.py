@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm import quality_gam
 from sigloom.llm.common import staged, table
 from sigloom.llm.html_extract import extract_text
 from sigloom.llm.jpeg_media import thumbnail_columns, to_media
@@ -16,6 +17,13 @@ from sigloom.llm.secret_scan import find_secrets
 from sigloom.llm.warc_archive import read_archives, write_archives
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
+    out = quality_gam.score(docs, model, threshold=0.7)
+    return out.select("doc_id", (quality_gam.fold() == 2).alias("held_out"), "score", "predicted")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -86,6 +94,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_gam": op1_quality_gam,
         "op2_html_extract": op2_html_extract,
         "op3_jpeg_media": op3_jpeg_media,
         "op6_warc_archive": op6_warc_archive,
