@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from sigloom.llm import quality_gam
 from sigloom.llm.common import staged, table
+from sigloom.llm.decontaminate import ORACLE as OP4_SQL
+from sigloom.llm.decontaminate import find_leaks, leak_columns
 from sigloom.llm.html_extract import extract_text
 from sigloom.llm.jpeg_media import thumbnail_columns, to_media
 from sigloom.llm.line_dedup import dedup_lines
+from sigloom.llm.mixing import mix_sources
 from sigloom.llm.near_dedup import near_duplicates
 from sigloom.llm.secret_scan import find_secrets
 from sigloom.llm.warc_archive import read_archives, write_archives
@@ -33,6 +36,11 @@ def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), words=5, overlap=0.8)
+    return found.select("doc_id", *leak_columns(found))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = staged(write_archives(table(spark, sf_dir, "pages"), min_bytes=100), "warc")
     return read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -60,6 +68,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, budget_share=1.0, repetition=4.0).select("doc_id", "source", "n_tokens", "weight", "copies", "block")
+
+
 OP6_SQL = r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -97,12 +110,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_gam": op1_quality_gam,
         "op2_html_extract": op2_html_extract,
         "op3_jpeg_media": op3_jpeg_media,
+        "op4_decontaminate": op4_decontaminate,
         "op6_warc_archive": op6_warc_archive,
         "op7_secret_scan": op7_secret_scan,
         "op8_line_dedup": op8_line_dedup,
+        "op9_mix_sources": op9_mix_sources,
         "op10_near_dedup": op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_archive": OP6_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op6_warc_archive": OP6_SQL, "op8_line_dedup": OP8_SQL}
