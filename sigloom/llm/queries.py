@@ -17,6 +17,7 @@ from sigloom.llm.line_dedup import dedup_lines
 from sigloom.llm.mixing import mix_sources
 from sigloom.llm.near_dedup import near_duplicates
 from sigloom.llm.secret_scan import find_secrets
+from sigloom.llm.substring_dedup import remove_repeats
 from sigloom.llm.warc_archive import read_archives, write_archives
 
 
@@ -41,6 +42,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *leak_columns(found))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = staged(write_archives(table(spark, sf_dir, "pages"), min_bytes=100), "warc")
     return read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -111,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extract": op2_html_extract,
         "op3_jpeg_media": op3_jpeg_media,
         "op4_decontaminate": op4_decontaminate,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_warc_archive": op6_warc_archive,
         "op7_secret_scan": op7_secret_scan,
         "op8_line_dedup": op8_line_dedup,
