@@ -1,10 +1,11 @@
 """Near-duplicate documents by a chosen-path set similarity join, and their components.
 
-Sets of word shingles become 64 minwise tokens. Every tree branches all distinct sets by one of
-these; nodes of one set end there, small nodes are compared exhaustively (on sketches, then on full
-sets), and large nodes first tie what they can to a leader and then branch again by three more
-tokens picked by the path. The trees are independent, so a pair at the threshold is missed by all
-of them with a probability of about (1 - threshold) ** trees.
+Sets of word shingles become 64 minwise tokens. Every tree branches all distinct sets along a path
+of its own tokens; nodes of one set end there, small nodes are compared exhaustively (on sketches,
+then on full sets), and large nodes first tie what they can to a leader and then branch again by
+three more tokens picked by the path, as long as they hold sets of different components. The trees
+are independent, so a pair at the threshold t is missed by all of them with a probability of
+(1 - t ** tokens) ** trees; there are as many trees as make that one in a million.
 
 What bounds memory and skew: equal sets are one class from the start; nodes are counted, never
 gathered, until they are known to be small; large nodes send a member to its leader only, so a
@@ -14,6 +15,8 @@ blocks. No stage holds more than ``node_size`` documents at once, and links stay
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,7 +133,16 @@ def _live(nodes: DataFrame) -> DataFrame:
     return nodes.join(count, "path")
 
 
-def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, trees: int = 10, node_size: int = 256, levels: int = 4, children: int = 4, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def plan_trees(percent: int, miss: float = 1e-6) -> tuple[int, int]:
+    """How many trees there are and how many tokens the first branch of each takes: the longest that 64 tokens allow."""
+    for path in (3, 2, 1):
+        trees = max(1, math.ceil(math.log(miss) / math.log(1 - min(percent / 100, 0.999) ** path)))
+        if trees * path <= TOKENS or path == 1:
+            return min(trees, TOKENS // path), path
+    raise AssertionError
+
+
+def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, node_size: int = 256, levels: int = 3, children: int = 2, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (cid, doc_id, n_docs), and links (a, b) between classes that span all components."""
     classes = staged(
         sig.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "k1")).alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.max("tokens").alias("tokens")),
@@ -147,7 +159,8 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, tre
 
     marks = staged(classes.select("cid", "n", "tokens").mapInArrow(low_bytes, "cid binary, n long, marks binary"), "marks")
     take = lambda i: F.substring(F.col("tokens"), 4 * i + 1, 4)
-    first = F.array(*[F.xxhash64(F.lit(t), take(t)) for t in range(trees)])
+    trees, path = plan_trees(percent)
+    first = F.array(*[F.xxhash64(F.lit(t), *[take(path * t + i) for i in range(path)]) for t in range(trees)])
     nodes = classes.select(F.explode(first).alias("path"), "cid", F.lit(True).alias("q"))
     groups, stars, blocks = [], [], None
 
@@ -176,8 +189,14 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, tre
         pairs = tagged.where("fit and cid != lead").select("lead", "cid").distinct()
         tied = staged(_confirm_stars(pairs, _texts(docs, classes, pairs.select(F.explode(F.array("lead", "cid")).alias("cid")), text, id_col), words, percent, node_size), f"stars{level}")
         stars.append(tied.select(F.col("lead").alias("a"), F.col("cid").alias("b")))
-        open_ = tagged.join(tied.withColumn("tied", F.lit(True)), ["lead", "cid"], "left")
-        open_ = open_.select("path", "cid", (F.col("q") & F.col("tied").isNull() & (F.col("cid") != F.col("lead"))).alias("q"))
+        # pairs within one component have nothing to add: members apart from their leader's are open
+        every = stars[0]
+        for s in stars[1:]:
+            every = every.unionByName(s)
+        roots = staged(components(every), f"roots{level}")
+        open_ = tagged.join(roots.select(F.col("node").alias("cid"), F.col("root").alias("own")), "cid", "left").join(roots.select(F.col("node").alias("lead"), F.col("root").alias("theirs")), "lead", "left")
+        apart = F.coalesce("own", "cid") != F.coalesce("theirs", "lead")
+        open_ = open_.select("path", "cid", apart.alias("q"))
         if level == levels - 1:
             blocks = open_
             break
@@ -306,7 +325,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, node_size: int = 256, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, node_size: int = 256, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts have A-Z lower-cased; words are runs outside 0x20 and 0x09-0x0D; a set holds the distinct
@@ -318,7 +337,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     where its doc_id is the component's. Other columns are left out.
     """
     sig = staged(signatures(docs, words, text, id_col), "sig")
-    classes, links = similar_links(docs, sig, words, percent, trees, node_size, text=text, id_col=id_col)
+    classes, links = similar_links(docs, sig, words, percent, node_size, text=text, id_col=id_col)
     roots = components(links)
     own = classes.select("cid", F.col("rep.doc_id").alias("first"))
     tied = roots.join(own, roots["node"] == own["cid"]).select("cid", "root", "first")
