@@ -21,7 +21,7 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def _negative_zero(b: Column) -> Column:
-    return (b == 0) & (F.atan2(b, F.lit(-1.0)) < 0)
+    return (b == 0) & (b.cast("string") == F.lit("-0.0"))
 
 
 def gt(a: Column, b: Column) -> Column:

@@ -152,7 +152,7 @@ def evaluate(source: Signal, program: list[tuple], pick, constants: list[float],
             else:
                 n = args[0]
                 f = {"MA_UPDATE": F.avg, "MSUM_UPDATE": F.sum, "STD_UPDATE": F.stddev_samp, "WIN_MIN": F.min, "WIN_MAX": F.max}[name]
-                out, _ = kept(F.coalesce(f(x).over(last(n)), F.lit(float("nan")))), warm(n)
+                out, _ = kept(F.when(base.count() >= n, F.coalesce(f(x).over(last(n)), F.lit(float("nan")))).otherwise(0.0)), warm(n)
             stack.append(out)
     return outputs, flags
 
