@@ -83,7 +83,7 @@ def suffix_arrays(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         count = np.diff(np.append(edge, len(hit)))
         hit = hit[edge]
         old = group[hit]
-        by = np.lexsort((count, old))
+        by = np.argsort(old * (int(count.max()) + 1) + count)
         hit, count, old = hit[by], count[by], old[by]
         fresh = np.concatenate(([True], old[1:] != old[:-1]))
         edge = np.flatnonzero(fresh)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import mix64, powers, prefix_hash, slices, staged, utf8, with_arrow
+from sigloom.llm.common import mix64, powers, prefix_hash, shuffle_width, slices, staged, utf8, with_arrow
 from sigloom.llm.grouping import suffix_arrays
 
 GRAM = 32
@@ -142,7 +142,7 @@ def repeated_windows(contexts: list[list[tuple[int, bytes]]], length: int) -> li
     return out
 
 
-def _sorted_groups(contexts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
+def _sorted_groups(contexts: DataFrame, length: int, batch_bytes: int, lane_bytes: int = 3 << 19) -> DataFrame:
     """(h, k, repeated): for contexts (h, k, weight, context) the repeated runs of those that have any."""
     schema = "h long, k long, repeated array<struct<a:int,b:int>>"
 
@@ -157,12 +157,19 @@ def _sorted_groups(contexts: DataFrame, length: int, batch_bytes: int) -> DataFr
         def flush():
             nonlocal keys, groups, size
             h, k, rep = [], [], []
-            for own, found in zip(keys, repeated_windows(groups, length), strict=True):
-                for (a, b), r in zip(own, found, strict=True):
-                    if r:
-                        h.append(a)
-                        k.append(b)
-                        rep.append([{"a": x, "b": y} for x, y in r])
+            # strings of like lengths are sorted together, as the longest sets the number of steps
+            order = sorted(range(len(groups)), key=lambda i: sum(len(c) for _, c in groups[i]))
+            while order:
+                here, total = [], 0
+                while order and (not here or total < lane_bytes):
+                    here.append(order.pop())
+                    total += sum(len(c) for _, c in groups[here[-1]])
+                for i, found in zip(here, repeated_windows([groups[i] for i in here], length), strict=True):
+                    for (a, b), r in zip(keys[i], found, strict=True):
+                        if r:
+                            h.append(a)
+                            k.append(b)
+                            rep.append([{"a": x, "b": y} for x, y in r])
             keys, groups, size = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(rep, kind)], names=["h", "k", "repeated"])
 
@@ -183,7 +190,7 @@ def _sorted_groups(contexts: DataFrame, length: int, batch_bytes: int) -> DataFr
         if keys:
             yield flush()
 
-    dealt = contexts.select("h", "k", "weight", "context").repartition("h").sortWithinPartitions("h")
+    dealt = contexts.select("h", "k", "weight", "context").repartition(shuffle_width(contexts.sparkSession), "h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, schema)
 
 
@@ -229,7 +236,7 @@ def _parted(contexts: DataFrame, length: int, seed: int) -> DataFrame:
     return contexts.select("h", "k", "weight", "context").mapInArrow(run, "h long, k long, weight long, off int, w int, h2 long, k2 long, twice boolean, context binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, most_contexts: int = 48, levels: int = 4, batch_bytes: int = 3 << 19, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, most_contexts: int = 48, levels: int = 4, batch_bytes: int = 12 << 20, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(r1, r2, spans): by row key the byte ranges [a, b) that repeated windows cover, not yet merged."""
     every = staged(occurrences(docs, length, text, id_col), "occurrences")
     shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("h")
