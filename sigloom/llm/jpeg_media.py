@@ -252,8 +252,8 @@ def _whole_units(dc, ac) -> tuple[np.ndarray, np.ndarray]:
     return _LOOKUPS[dc, ac]
 
 
-def _lanes(scans: list[Scan]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all scans without stuffing and markers, where each interval starts, and intervals for each scan."""
+def _lanes(scans: list[Scan]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all scans without stuffing and markers, where each interval starts and ends, and intervals for each scan."""
     data = np.frombuffer(b"".join(s.data + b"\x00\x00" for s in scans), np.uint8)
     full = np.flatnonzero(data == 0xFF)
     after = data[full + 1]
@@ -270,7 +270,8 @@ def _lanes(scans: list[Scan]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = number > 0
     if np.any((number[inner] - 1) % 8 != data[starts[inner] - 1] - 0xD0):
         raise ValueError("restart markers out of order")
-    return data[keep], place[starts], np.bincount(owner, minlength=len(scans))
+    stops = np.sort(np.concatenate((ends - 2, marks)))
+    return data[keep], place[starts], place[stops], np.bincount(owner, minlength=len(scans))
 
 
 def thumbnails(scans: list[Scan]) -> list[np.ndarray]:
@@ -286,7 +287,7 @@ def thumbnails(scans: list[Scan]) -> list[np.ndarray]:
         across = [-(-s.width // (8 if single else 8 * hmax)) for s in own]
         down = [-(-s.height // (8 if single else 8 * vmax)) for s in own]
         units = np.array([a * d for a, d in zip(across, down, strict=True)])
-        data, starts, lanes = _lanes(own)
+        data, starts, stops, lanes = _lanes(own)
         per = np.where(interval, interval, units)
         if np.any(lanes != -(-units // per)):
             raise ValueError("the number of restart intervals is wrong")
@@ -294,7 +295,7 @@ def thumbnails(scans: list[Scan]) -> list[np.ndarray]:
         number = np.arange(len(owner)) - (np.cumsum(lanes) - lanes)[owner]
         todo = np.minimum(per[owner], units[owner] - number * per[owner])
         blocks = 1 if single else parts[0][1] * parts[0][2]
-        values = _decode(data, starts, todo, parts, dc, ac, single)
+        values = _decode(data, starts, stops, todo, parts, dc, ac, single)
         scaled = np.clip((values.astype(np.int32) * parts[0][3] + 4) // 8 + 128, 0, 255).astype(np.uint8)
         first = np.cumsum(lanes) - lanes
         for k, i in enumerate(at):
@@ -312,7 +313,7 @@ def thumbnails(scans: list[Scan]) -> list[np.ndarray]:
     return out
 
 
-def _decode(data, starts, todo, parts, dc, ac, single) -> np.ndarray:
+def _decode(data, starts, stops, todo, parts, dc, ac, single) -> np.ndarray:
     """Accumulated luminance DC values: lane x unit (x block)."""
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.int64)
     word = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
@@ -379,7 +380,7 @@ def _decode(data, starts, todo, parts, dc, ac, single) -> np.ndarray:
                     bit = at
                 else:
                     bit[live] = at
-    if bit.max() > limit:
+    if np.any(bit > stops << 3):
         raise ValueError("the scan is too short")
     return out.transpose(2, 0, 1)
 

@@ -145,7 +145,7 @@ def plan_trees(percent: int, miss: float = 1e-6) -> tuple[int, int]:
 def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, node_size: int = 256, levels: int = 3, children: int = 2, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (cid, doc_id, n_docs), and links (a, b) between classes that span all components."""
     classes = staged(
-        sig.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "k1")).alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.max("tokens").alias("tokens")),
+        sig.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1")).alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.max("tokens").alias("tokens")),
         "classes",
     )
     least = least_matches(percent)

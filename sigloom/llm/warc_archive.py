@@ -186,7 +186,10 @@ def load_dictionary(data) -> tuple[bytes, int]:
         raise ArchiveError("the dictionary frame is cut short")
     body = bytes(data[8 : 8 + size])
     if body[:4] == struct.pack("<I", FRAME_MAGIC):
-        body = zstandard.ZstdDecompressor().decompress(body)
+        try:
+            body = zstandard.ZstdDecompressor().decompress(body)
+        except zstandard.ZstdError as wrong:
+            raise ArchiveError(f"the dictionary: {wrong}") from wrong
     return body, 8 + size
 
 
