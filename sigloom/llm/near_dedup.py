@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sigloom.llm.common import mix64, shingle_sets, slices, staged, utf8
 
 TOKENS = 64
+LEADERS = 8  # of a large node
 _ODD = (np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, TOKENS, dtype=np.uint64)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -110,9 +111,15 @@ def candidate_groups(members: list[dict], percent: int) -> list[list[bytes]]:
     return [sorted(g) for g in groups.values() if len(g) > 1]
 
 
-def confirmed(sets: list[np.ndarray], percent: int, pairs=None) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets`` (of the pairs that ``pairs(i, j)`` admits) at the threshold, on full sets."""
+def confirmed(sets: list[np.ndarray], percent: int, pairs=None, known: list[list[int]] = ()) -> list[tuple[int, int]]:
+    """Links that span the components of ``sets`` at the threshold, on full sets.
+
+    Only pairs that ``pairs(i, j)`` admits are compared; ``known`` are groups that are connected already.
+    """
     forest, links = Forest(len(sets)), []
+    for group in known:
+        for i in group[1:]:
+            forest.join(group[0], i)
     for j in range(1, len(sets)):
         b = sets[j]
         for i in range(j):
@@ -166,37 +173,47 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
 
     for level in range(levels):
         nodes = staged(_live(nodes), f"level{level}")
+        if level == 0:  # no set outside these nodes is ever compared, so texts are fetched once
+            texts = staged(_texts(docs, classes, nodes.select("cid"), text, id_col), "texts")
         small = nodes.where(F.col("size") <= node_size).join(marks, "cid").groupBy("path").agg(F.collect_list(F.struct("cid", "n", "marks")).alias("members"))
         groups.append(small.select("members"))
         large = nodes.where(F.col("size") > node_size)
         if large.isEmpty():
             break
-        # tie the members of large nodes to their leaders, on full sets
+        # tie the members of large nodes to the most similar of a few leaders each, on full sets
         tagged = large.join(marks, "cid")
-        leaders = tagged.groupBy("path").agg(F.min(F.struct("cid", "n", "marks")).alias("leader"))
-        tagged = tagged.join(leaders, "path").select("path", "cid", "n", "marks", "q", F.col("leader.cid").alias("lead"), F.col("leader.n").alias("lead_n"), F.col("leader.marks").alias("lead_marks"))
+        heads = tagged.groupBy("path", F.pmod(F.xxhash64("cid"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("cid", "n", "marks")).alias("head"))
+        heads = heads.groupBy("path").agg(F.sort_array(F.collect_list("head")).alias("heads"))  # at most LEADERS of them
+        tagged = tagged.join(heads, "path").select("path", "cid", "n", "marks", "heads")
 
         def near(batches):
             import pyarrow as pa
 
             for b in batches:
-                m, k = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, TOKENS) for i in (3, 7))
-                n, o = b.column(2).to_numpy(), b.column(6).to_numpy()
-                fit = ((m == k).sum(axis=1) >= least) & (100 * np.minimum(n, o) >= percent * np.maximum(n, o))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(fit)], names=["path", "cid", "q", "lead", "fit"])
-
-        tagged = staged(tagged.mapInArrow(near, "path long, cid binary, q boolean, lead binary, fit boolean"), f"leaders{level}")
-        pairs = tagged.where("fit and cid != lead").select("lead", "cid").distinct()
-        tied = staged(_confirm_stars(pairs, _texts(docs, classes, pairs.select(F.explode(F.array("lead", "cid")).alias("cid")), text, id_col), words, percent, node_size), f"stars{level}")
-        stars.append(tied.select(F.col("lead").alias("a"), F.col("cid").alias("b")))
-        # pairs within one component have nothing to add: members apart from their leader's are open
+                rows = b.to_pydict()
+                best, first = [], []
+                for cid, n, own, many in zip(rows["cid"], rows["n"], rows["marks"], rows["heads"], strict=True):
+                    own, top, lead = np.frombuffer(own, np.uint8), least - 1, None
+                    for h in many:
+                        equal = int((np.frombuffer(h["marks"], np.uint8) == own).sum())
+                        if equal > top and h["cid"] != cid and 100 * min(n, h["n"]) >= percent * max(n, h["n"]):
+                            top, lead = equal, h["cid"]
+                    best.append(lead)
+                    first.append(many[0]["cid"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.binary()), pa.array(first, pa.binary())], names=["path", "cid", "lead", "first"])
+
+        tagged = staged(tagged.mapInArrow(near, "path long, cid binary, lead binary, first binary"), f"leaders{level}")
+        pairs = tagged.where("lead is not null").select("lead", "cid").distinct()
+        stars.append(staged(_confirm_stars(pairs, texts, words, percent, node_size), f"stars{level}").select(F.col("lead").alias("a"), F.col("cid").alias("b")))
+        # pairs within one component have nothing to add: members apart from their node's first leader are open
         every = stars[0]
         for s in stars[1:]:
             every = every.unionByName(s)
         roots = staged(components(every), f"roots{level}")
-        open_ = tagged.join(roots.select(F.col("node").alias("cid"), F.col("root").alias("own")), "cid", "left").join(roots.select(F.col("node").alias("lead"), F.col("root").alias("theirs")), "lead", "left")
-        apart = F.coalesce("own", "cid") != F.coalesce("theirs", "lead")
-        open_ = open_.select("path", "cid", apart.alias("q"))
+        open_ = tagged.select("path", "cid", "first").join(roots.select(F.col("node").alias("cid"), F.col("root").alias("own")), "cid", "left")
+        open_ = open_.join(roots.select(F.col("node").alias("first"), F.col("root").alias("theirs")), "first", "left")
+        own = F.coalesce("own", "cid")
+        open_ = open_.select("path", "cid", own.alias("root"), (own != F.coalesce("theirs", "first")).alias("q"))
         if level == levels - 1:
             blocks = open_
             break
@@ -217,12 +234,11 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
         every = every.unionByName(g)
     groups = staged(every.mapInArrow(split, "members array<binary>").distinct(), "groups")
     members = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid")).distinct()
-    texts = _texts(docs, classes, members.select("cid"), text, id_col)
     links = members.join(texts, "cid").groupBy("g").applyInArrow(_within(words, percent), "a binary, b binary")
     for s in stars:
         links = links.unionByName(s)
     if blocks is not None:
-        links = links.unionByName(_confirm_blocks(docs, classes, blocks, words, percent, node_size, text, id_col))
+        links = links.unionByName(_confirm_blocks(blocks, texts, words, percent, node_size))
     return classes, staged(links.distinct(), "links")
 
 
@@ -254,7 +270,6 @@ def _within(words: int, percent: int):
 
 def _confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int, node_size: int) -> DataFrame:
     """Of pairs (lead, cid) those that are similar on full sets; a leader's members are dealt to chunks."""
-    texts = staged(texts, "texts")
     sizes = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("k"))
     parts = sizes.select("lead", F.ceil(F.col("k") / node_size).cast("long").alias("parts"))
     rows = pairs.join(parts, "lead").select("lead", "cid", F.pmod(F.xxhash64("cid"), "parts").alias("part"))
@@ -278,23 +293,30 @@ def _confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int,
     return whole.groupBy("lead", "part").applyInArrow(run, "lead binary, cid binary")
 
 
-def _confirm_blocks(docs, classes, blocks: DataFrame, words: int, percent: int, node_size: int, text: str, id_col: str) -> DataFrame:
-    """What large nodes have left after the last level: their open members as queries against all members, block by block."""
+def _confirm_blocks(blocks: DataFrame, texts: DataFrame, words: int, percent: int, node_size: int) -> DataFrame:
+    """What large nodes have left after the last level: their open members as queries against all members, block by block.
+
+    Members of one component (root) need no comparison, so a query ends at its first link to each.
+    """
     blocks = staged(blocks, "blocks")
     count = blocks.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("open")).where("open > 0")
     count = count.select("path", F.ceil(F.col("n") / node_size).alias("parts"), F.ceil(F.col("open") / node_size).alias("asked"))
     rows = blocks.join(count, "path").withColumn("part", F.pmod(F.xxhash64("cid"), "parts")).withColumn("ask", F.pmod(F.xxhash64(F.lit(3), "cid"), "asked"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    sides = rows.select("path", "cid", F.lit(False).alias("q"), "part", each("asked").alias("ask"))
-    sides = sides.unionByName(rows.where("q").select("path", "cid", F.lit(True).alias("q"), each("parts").alias("part"), "ask"))
-    whole = sides.join(_texts(docs, classes, sides.select("cid"), text, id_col), "cid")
+    sides = rows.select("path", "cid", "root", F.lit(False).alias("q"), "part", each("asked").alias("ask"))
+    sides = sides.unionByName(rows.where("q").select("path", "cid", "root", F.lit(True).alias("q"), each("parts").alias("part"), "ask"))
+    whole = sides.join(texts, "cid")
 
     def run(table):
         import pyarrow as pa
 
-        cids, asked = table.column("cid").to_pylist(), table.column("q").to_pylist()
-        sets = _sets(table.column("text").to_pylist(), words)
-        links = confirmed(sets, percent, lambda i, j: (asked[i] or asked[j]) and cids[i] != cids[j])
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("cid", "q", "root", "text")), strict=True), key=lambda r: (r[0], r[1]))
+        cids, asked = [r[0] for r in rows], [r[1] for r in rows]
+        roots = {}
+        for i, r in enumerate(rows):
+            roots.setdefault(r[2], []).append(i)
+        sets = _sets([r[3] for r in rows], words)
+        links = confirmed(sets, percent, lambda i, j: asked[i] or asked[j], list(roots.values()))
         return pa.table({"a": pa.array([cids[i] for i, _ in links], pa.binary()), "b": pa.array([cids[j] for _, j in links], pa.binary())})
 
     return whole.groupBy("path", "part", "ask").applyInArrow(run, "a binary, b binary")
@@ -304,22 +326,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the undirected ``links`` (a, b); the root is the smallest node reachable.
 
     Alternating large-star and small-star steps over aggregates and equi-joins; each round is a
-    table in the shared folder. It ends once a round changes nothing.
+    table in the shared folder. It ends once all edges lead from single ends to roots.
     """
     edges = staged(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
     for _ in range(rounds):
+        # done once every node is either the end of edges or has a single one
+        ends = edges.select("u", F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out")))
+        unsettled = ends.groupBy("u").agg(F.sum("out").alias("k"), F.min("out").alias("low")).where("k > 1 or k = 1 and low = 0")
+        if unsettled.isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = staged(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
