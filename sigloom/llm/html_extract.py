@@ -81,7 +81,7 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
 def parse(page: str) -> Node:
     """The tree of ``page`` without its furniture. Unclosed, stray and cut-off tags are repaired."""
     root = Node("#root", None)
-    at, node, skip, pos, inside = 0, root, None, 0, 0
+    at, node, pos, inside = 0, root, 0, 0
     open_skip: list[str] = []
 
     def text(upto):
