@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: About how long one symbol takes by itself, and how long one step takes however many strings share it.
+ONE_BY_ONE, IN_STEP = 5, 50
+
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
@@ -25,10 +28,91 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def suffix_arrays(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Suffix arrays of non-negative integer strings, one behind the other, and where each begins.
 
-    Values are positions within the string. A string's end sorts before every symbol.
+    Values are positions within the string. A string's end sorts before every symbol. The few
+    longest strings, for which lock-step has hardly anything to share, are sorted one by one.
     """
     lens = np.array([len(x) for x in strings], np.int64)
     order = np.argsort(-lens, kind="stable")
+    sizes = np.append(lens[order], 0)
+    ahead = np.cumsum(sizes) - sizes
+    alone = int(np.argmin(ONE_BY_ONE * ahead + IN_STEP * sizes)) if len(strings) else 0
+    if not alone:
+        return _in_step(strings)
+    begins = np.cumsum(lens) - lens
+    out = np.empty(int(lens.sum()), np.int64)
+    for k in order[:alone].tolist():
+        out[begins[k] : begins[k] + lens[k]] = one_suffix_array(strings[k])
+    rest = order[alone:].tolist()
+    found, at = _in_step([strings[k] for k in rest])
+    for k, b in zip(rest, at.tolist(), strict=True):
+        out[begins[k] : begins[k] + lens[k]] = found[b : b + lens[k]]
+    return out, begins
+
+
+def one_suffix_array(string: np.ndarray) -> list[int]:
+    """The same construction for one string, suffix by suffix."""
+    n = len(string)
+    symbol = np.concatenate(([-1], np.asarray(string, np.int64) + 1, [0]))
+    order = np.argsort(symbol, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(symbol[order]) != 0)))
+    width = np.diff(np.append(heads, n + 2))
+    sizes = np.zeros(n + 2, np.int64)
+    sizes[heads] = width
+    groups, places = np.empty(n + 2, np.int64), np.empty(n + 2, np.int64)
+    groups[order] = np.repeat(heads, width)
+    places[order] = np.arange(n + 2)
+    at, size, group, place = order.tolist(), sizes.tolist(), groups.tolist(), places.tolist()
+    group[0] = -1
+    prev = list(range(-1, n + 1))
+    end = n + 2
+    while end > 2:
+        low = group[at[end - 1]]
+        pointed: dict[int, int] = {}
+        for i in sorted(at[low:end]):
+            p = i - 1
+            while group[p] >= low:
+                p = prev[p]
+            prev[i] = p
+            if p:
+                pointed[p] = pointed.get(p, 0) + 1
+        end = low
+        leaving: dict[int, list] = {}
+        for p, k in pointed.items():
+            leaving.setdefault(group[p], []).append((k, p))
+        for old, members in leaving.items():
+            members.sort()
+            target = old + size[old] - len(members)
+            size[old] -= len(members)
+            last = 0
+            for k, p in members:
+                q, was = at[target], place[p]
+                at[was], place[q] = q, was
+                at[target], place[p] = p, target
+                if k != last:
+                    last, head = k, target
+                    size[head] = 0
+                size[head] += 1
+                group[p] = head
+                target += 1
+    out, free = [-1] * (n + 2), list(range(n + 2))
+    done = [False] * (n + 2)
+    done[0] = done[n + 1] = True
+    out[1] = n + 1
+    for row in range(1, n + 2):
+        cell = out[row] - 1
+        while not done[cell]:
+            g = group[cell]
+            out[free[g]] = cell
+            free[g] += 1
+            done[cell] = True
+            cell = prev[cell]
+    return [c - 1 for c in out[2:]]
+
+
+def _in_step(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``suffix_arrays`` by lock-step."""
+    lens = np.array([len(x) for x in strings], np.int64)
+    order = np.argsort(-lens, kind="stable")
     # cells of a string: one ahead of it that is lower than all, its symbols, its end
     cells = lens[order] + 2
     first = np.cumsum(cells) - cells
