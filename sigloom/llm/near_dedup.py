@@ -2,15 +2,16 @@
 
 Sets of word shingles become 64 minwise tokens. Every tree branches all distinct sets along a path
 of its own tokens; nodes of one set end there, small nodes are compared exhaustively (on sketches,
-then on full sets), and large nodes first tie what they can to a leader and then branch again by
-three more tokens picked by the path, as long as they hold sets of different components. The trees
-are independent, so a pair at the threshold t is missed by all of them with a probability of
-(1 - t ** tokens) ** trees; there are as many trees as make that one in a million.
+then on full sets), and large nodes first tie what they can to a leader and then compare what is not
+of the first leader's component with all members. No node is branched again, so a pair that meets in
+a node of any size is lost to its sketches only. The trees are independent: a pair at the threshold t
+meets in none of them with a probability of (1 - t ** tokens) ** trees. There are as many trees as
+make that one in a million, and sketches turn down at most one more (``miss_bound`` has the sum).
 
 What bounds memory and skew: equal sets are one class from the start; nodes are counted, never
 gathered, until they are known to be small; large nodes send a member to its leader only, so a
-dense group costs one comparison a member; what is left of a node after the last level goes through
-blocks. No stage holds more than ``node_size`` documents at once, and links stay in tables.
+dense group costs one comparison a member; what is left of a node then goes through blocks, which
+costs the square of its size where its members are all apart. No stage holds more than ``node_size`` documents at once, and links stay in tables.
 """
 
 from __future__ import annotations
@@ -88,9 +89,23 @@ class Forest:
 
 
 def least_matches(percent: int) -> int:
-    """Equal tokens of 64 that a pair at the threshold has with a probability of about 1 - 1e-5 or more."""
+    """Equal tokens of 64 that a pair at the threshold has with a probability of 1 - 1e-6 or more."""
+    least = 0
+    while least < TOKENS and fewer_matches(percent, least + 1) <= 1e-6:
+        least += 1
+    return max(1, least)
+
+
+def fewer_matches(percent: int, least: int) -> float:
+    """Probability that a pair at the threshold has fewer than ``least`` equal tokens of 64."""
     p = percent / 100
-    return max(1, int(TOKENS * p - 4.4 * (TOKENS * p * (1 - p)) ** 0.5))
+    return sum(math.comb(TOKENS, k) * p**k * (1 - p) ** (TOKENS - k) for k in range(least))
+
+
+def miss_bound(percent: int) -> float:
+    """Bound of the probability that a pair at the threshold is missed: it meets in no tree, or sketches turn it down."""
+    trees, path = plan_trees(percent)
+    return (1 - (percent / 100) ** path) ** trees + fewer_matches(percent, least_matches(percent))
 
 
 def candidate_groups(members: list[dict], percent: int) -> list[list[bytes]]:
@@ -114,29 +129,27 @@ def candidate_groups(members: list[dict], percent: int) -> list[list[bytes]]:
 def confirmed(sets: list[np.ndarray], percent: int, pairs=None, known: list[list[int]] = ()) -> list[tuple[int, int]]:
     """Links that span the components of ``sets`` at the threshold, on full sets.
 
-    Only pairs that ``pairs(i, j)`` admits are compared; ``known`` are groups that are connected already.
+    Only ``pairs`` (i, j), i < j, are compared if given; ``known`` are groups that are connected already.
     """
     forest, links = Forest(len(sets)), []
     for group in known:
         for i in group[1:]:
             forest.join(group[0], i)
-    for j in range(1, len(sets)):
-        b = sets[j]
-        for i in range(j):
-            a = sets[i]
-            small, large = (len(a), len(b)) if len(a) <= len(b) else (len(b), len(a))
-            if not small or 100 * small < percent * large or pairs and not pairs(i, j) or forest.root(i) == forest.root(j):
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (small + large - both):
-                forest.join(i, j)
-                links.append((i, j))
+    for i, j in pairs if pairs is not None else ((i, j) for j in range(1, len(sets)) for i in range(j)):
+        a, b = sets[i], sets[j]
+        small, large = (len(a), len(b)) if len(a) <= len(b) else (len(b), len(a))
+        if not small or 100 * small < percent * large or forest.root(i) == forest.root(j):
+            continue
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if 100 * both >= percent * (small + large - both):
+            forest.join(i, j)
+            links.append((i, j))
     return links
 
 
 def _live(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (path, q, ...) that two or more sets share, one of them yet to be compared (q), with the node's size."""
-    count = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("q").alias("open")).where("size > 1 and open").select("path", "size")
+    """``nodes`` (path, ...) that two or more sets share, with the node's size."""
+    count = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return nodes.join(count, "path")
 
 
@@ -149,7 +162,7 @@ def plan_trees(percent: int, miss: float = 1e-6) -> tuple[int, int]:
     raise AssertionError
 
 
-def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, node_size: int = 256, levels: int = 3, children: int = 2, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, node_size: int = 256, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (cid, doc_id, n_docs), and links (a, b) between classes that span all components."""
     classes = staged(
         sig.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1")).alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.max("tokens").alias("tokens")),
@@ -168,18 +181,13 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
     take = lambda i: F.substring(F.col("tokens"), 4 * i + 1, 4)
     trees, path = plan_trees(percent)
     first = F.array(*[F.xxhash64(F.lit(t), *[take(path * t + i) for i in range(path)]) for t in range(trees)])
-    nodes = classes.select(F.explode(first).alias("path"), "cid", F.lit(True).alias("q"))
-    groups, stars, blocks = [], [], None
-
-    for level in range(levels):
-        nodes = staged(_live(nodes), f"level{level}")
-        if level == 0:  # no set outside these nodes is ever compared, so texts are fetched once
-            texts = staged(_texts(docs, classes, nodes.select("cid"), text, id_col), "texts")
-        small = nodes.where(F.col("size") <= node_size).join(marks, "cid").groupBy("path").agg(F.collect_list(F.struct("cid", "n", "marks")).alias("members"))
-        groups.append(small.select("members"))
-        large = nodes.where(F.col("size") > node_size)
-        if large.isEmpty():
-            break
+    nodes = classes.select(F.explode(first).alias("path"), "cid")
+    nodes = staged(_live(nodes), "nodes")
+    # no set outside these nodes is ever compared, so texts are fetched once
+    texts = staged(_texts(docs, classes, nodes.select("cid"), text, id_col), "texts")
+    small = nodes.where(F.col("size") <= node_size).join(marks, "cid").groupBy("path").agg(F.collect_list(F.struct("cid", "n", "marks")).alias("members"))
+    large, stars, blocks = nodes.where(F.col("size") > node_size), None, None
+    if not large.isEmpty():
         # tie the members of large nodes to the most similar of a few leaders each, on full sets
         tagged = large.join(marks, "cid")
         heads = tagged.groupBy("path", F.pmod(F.xxhash64("cid"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("cid", "n", "marks")).alias("head"))
@@ -202,24 +210,15 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
                     first.append(many[0]["cid"])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.binary()), pa.array(first, pa.binary())], names=["path", "cid", "lead", "first"])
 
-        tagged = staged(tagged.mapInArrow(near, "path long, cid binary, lead binary, first binary"), f"leaders{level}")
+        tagged = staged(tagged.mapInArrow(near, "path long, cid binary, lead binary, first binary"), "leaders")
         pairs = tagged.where("lead is not null").select("lead", "cid").distinct()
-        stars.append(staged(_confirm_stars(pairs, texts, words, percent, node_size), f"stars{level}").select(F.col("lead").alias("a"), F.col("cid").alias("b")))
+        stars = staged(_confirm_stars(pairs, texts, words, percent, node_size), "stars").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
         # pairs within one component have nothing to add: members apart from their node's first leader are open
-        every = stars[0]
-        for s in stars[1:]:
-            every = every.unionByName(s)
-        roots = staged(components(every), f"roots{level}")
+        roots = staged(components(stars), "roots")
         open_ = tagged.select("path", "cid", "first").join(roots.select(F.col("node").alias("cid"), F.col("root").alias("own")), "cid", "left")
         open_ = open_.join(roots.select(F.col("node").alias("first"), F.col("root").alias("theirs")), "first", "left")
         own = F.coalesce("own", "cid")
-        open_ = open_.select("path", "cid", own.alias("root"), (own != F.coalesce("theirs", "first")).alias("q"))
-        if level == levels - 1:
-            blocks = open_
-            break
-        token = lambda c, i: F.expr(f"substring(tokens, 4 * pmod(xxhash64(path, {level}, {c}, {i}), {TOKENS}) + 1, 4)")
-        branch = F.array(*[F.xxhash64("path", F.lit(c), *[token(c, i) for i in range(3)]) for c in range(children)])
-        nodes = open_.join(classes.select("cid", "tokens"), "cid").select(F.explode(branch).alias("path"), "cid", "q").distinct()
+        blocks = open_.select("path", "cid", own.alias("root"), (own != F.coalesce("theirs", "first")).alias("q"))
 
     def split(batches):
         import pyarrow as pa
@@ -229,16 +228,11 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], names=["members"])
 
-    every = groups[0]
-    for g in groups[1:]:
-        every = every.unionByName(g)
-    groups = staged(every.mapInArrow(split, "members array<binary>").distinct(), "groups")
+    groups = staged(small.select("members").mapInArrow(split, "members array<binary>").distinct(), "groups")
     members = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid")).distinct()
     links = members.join(texts, "cid").groupBy("g").applyInArrow(_within(words, percent), "a binary, b binary")
-    for s in stars:
-        links = links.unionByName(s)
     if blocks is not None:
-        links = links.unionByName(_confirm_blocks(blocks, texts, words, percent, node_size))
+        links = links.unionByName(stars).unionByName(_confirm_blocks(blocks, marks, texts, words, percent, node_size))
     return classes, staged(links.distinct(), "links")
 
 
@@ -293,8 +287,8 @@ def _confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int,
     return whole.groupBy("lead", "part").applyInArrow(run, "lead binary, cid binary")
 
 
-def _confirm_blocks(blocks: DataFrame, texts: DataFrame, words: int, percent: int, node_size: int) -> DataFrame:
-    """What large nodes have left after the last level: their open members as queries against all members, block by block.
+def _confirm_blocks(blocks: DataFrame, marks: DataFrame, texts: DataFrame, words: int, percent: int, node_size: int) -> DataFrame:
+    """Large nodes: their open members as queries against all members, block by block, on sketches and then on full sets.
 
     Members of one component (root) need no comparison, so a query ends at its first link to each.
     """
@@ -305,18 +299,28 @@ def _confirm_blocks(blocks: DataFrame, texts: DataFrame, words: int, percent: in
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     sides = rows.select("path", "cid", "root", F.lit(False).alias("q"), "part", each("asked").alias("ask"))
     sides = sides.unionByName(rows.where("q").select("path", "cid", "root", F.lit(True).alias("q"), each("parts").alias("part"), "ask"))
-    whole = sides.join(texts, "cid")
+    whole = sides.join(marks, "cid").join(texts, "cid")
+    least = least_matches(percent)
 
     def run(table):
         import pyarrow as pa
 
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("cid", "q", "root", "text")), strict=True), key=lambda r: (r[0], r[1]))
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("cid", "q", "root", "text", "marks")), strict=True), key=lambda r: (r[0], r[1]))
         cids, asked = [r[0] for r in rows], [r[1] for r in rows]
         roots = {}
         for i, r in enumerate(rows):
             roots.setdefault(r[2], []).append(i)
-        sets = _sets([r[3] for r in rows], words)
-        links = confirmed(sets, percent, lambda i, j: asked[i] or asked[j], list(roots.values()))
+        own = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, TOKENS)
+        fit = np.stack([(own == o).sum(axis=1) >= least for o in own])
+        sides = np.array(asked)
+        # members of one root are connected, so only what spans roots is worth a full set
+        group = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        fit &= (sides[:, None] | sides) & (group[:, None] != group)
+        near = np.flatnonzero(fit.any(axis=1)).tolist()
+        sets = [np.empty(0, np.uint64)] * len(rows)
+        for i, x in zip(near, _sets([rows[i][3] for i in near], words), strict=True):
+            sets[i] = x
+        links = confirmed(sets, percent, [(i, j) for j, i in zip(*(x.tolist() for x in np.nonzero(np.tril(fit, -1))), strict=True)], list(roots.values()))
         return pa.table({"a": pa.array([cids[i] for i, _ in links], pa.binary()), "b": pa.array([cids[j] for _, j in links], pa.binary())})
 
     return whole.groupBy("path", "part", "ask").applyInArrow(run, "a binary, b binary")

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sigloom.llm import decontaminate, jpeg_media, mixing, quality_gam, secret_scan, warc_archive
+from sigloom.llm import decontaminate, jpeg_media, mixing, near_dedup, quality_gam, secret_scan, warc_archive
 from sigloom.llm.common import shingle_sets, staged, word_hashes
 from sigloom.llm.grouping import suffix_arrays
 from sigloom.llm.html_extract import extract_text, main_text
@@ -291,6 +291,20 @@ def test_near_duplicates(spark, node_size):
     assert near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_crowded_nodes_lose_no_pair(spark):
+    # 400 pairs at the threshold of 80 %, all of them in one crowd of 76 %
+    texts = []
+    for g in range(400):
+        shared = [f"c{i}" for i in range(78)] + [f"p{g}.{i}" for i in range(2)]
+        texts += [" ".join([*shared, *[f"o{g}.{side}.{i}" for i in range(10)]]) for side in "ab"]
+    got = near_duplicates(docs(spark, texts), words=1, percent=80, node_size=48)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, i // 2 * 2) for i in range(800)}
+
+
+def test_miss_counts_trees_and_sketches():
+    assert all(near_dedup.miss_bound(percent) < 2e-6 for percent in (50, 70, 80, 85, 95))
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (9, "A B C D"), (3, None)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_duplicates(df, 3, 85).collect())
