@@ -17,6 +17,7 @@ import re
 import urllib.parse
 import zlib
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,8 +30,6 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_URL = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-_UNICODE = re.compile(r"[^\s\"'<>]*(?:\\u\{?[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{2,7};|&#[xX][0-9A-Fa-f]{2,6};)[^\s\"'<>]*")
 _UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{2,7});|&#[xX]([0-9A-Fa-f]{2,6});")
 _URL_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -76,40 +75,35 @@ def _readable(data: bytes) -> str | None:
     return text if text and _PLAIN.fullmatch(text) else None
 
 
-def _escapes(run: str, one: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
-    """``run`` with all escapes decoded, and for each character the part of ``run`` it stems from."""
+def _escapes(layer: str, one: re.Pattern, decode) -> tuple[str, np.ndarray, np.ndarray] | None:
+    """``layer`` with all escapes decoded in place, and for each character the part of ``layer`` it stems from."""
     text, starts, ends, at = [], [], [], 0
-    for m in one.finditer(run):
+    for m in one.finditer(layer):
         got = decode(m)
         if got is None:
             continue
-        for i in range(at, m.start()):
-            text.append(run[i])
-            starts.append(i)
-            ends.append(i + 1)
+        text.append(layer[at : m.start()])
+        starts.extend(range(at, m.start()))
+        ends.extend(range(at + 1, m.start() + 1))
         for ch, s, e in got:
             text.append(ch)
             starts.append(s)
             ends.append(e)
         at = m.end()
-    for i in range(at, len(run)):
-        text.append(run[i])
-        starts.append(i)
-        ends.append(i + 1)
+    text.append(layer[at:])
+    starts.extend(range(at, len(layer)))
+    ends.extend(range(at + 1, len(layer) + 1))
     out = "".join(text)
-    return (out, starts, ends) if out != run else None
+    return (out, np.array(starts, np.int64), np.array(ends, np.int64)) if out != layer else None
 
 
 def _url(m: re.Match):
-    raw = urllib.parse.unquote_to_bytes(m[0])
-    try:
-        chars = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+    """Characters of a run of escapes; bytes that are no UTF-8 are taken as latin-1."""
     out, at = [], m.start()
-    for ch in chars:
-        n = 3 * len(ch.encode())
-        out.append((ch, at, at + n))
+    for ch in urllib.parse.unquote_to_bytes(m[0]).decode("utf-8", "surrogateescape"):
+        odd = 0xDC80 <= ord(ch) <= 0xDCFF
+        n = 3 if odd else 3 * len(ch.encode())
+        out.append((chr(ord(ch) - 0xDC00) if odd else ch, at, at + n))
         at += n
     return out
 
@@ -123,17 +117,14 @@ def _unicode(m: re.Match):
 
 
 def unwrap(text: str, most: int):
-    """(start, decoded, starts, ends) of every wrapped run of a layer; starts and ends are relative to the layer."""
-    if "%" in text:
-        for m in _URL.finditer(text):
-            got = _escapes(m[0], _URL_ONE, _url)
-            if got:
-                yield m.start(), *got
-    if "\\" in text or "&#" in text:
-        for m in _UNICODE.finditer(text):
-            got = _escapes(m[0], _UNICODE_ONE, _unicode)
-            if got:
-                yield m.start(), *got
+    """(decoded, starts, ends) of what a layer unwraps to; starts and ends tell for each character its part of the layer.
+
+    Escapes are decoded all over the layer, so that a keyword and its escaped value stay together.
+    """
+    if "%" in text and (got := _escapes(text, _URL_ONE, _url)):
+        yield got
+    if ("\\" in text or "&#" in text) and (got := _escapes(text, _UNICODE_ONE, _unicode)):
+        yield got
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=")
         if len(run) % 4 == 1:
@@ -144,17 +135,12 @@ def unwrap(text: str, most: int):
             continue
         out = _readable(data)
         if out is not None:
-            at, starts, ends = 0, [], []
-            for ch in out:
-                n = len(ch.encode())
-                starts.append(at * 4 // 3)
-                ends.append(min(len(run), -(-(at + n) * 4 // 3)))
-                at += n
-            yield m.start(), out, starts, ends
+            edge = np.cumsum([0, *(len(ch.encode()) for ch in out)])
+            yield out, m.start() + edge[:-1] * 4 // 3, m.start() + np.minimum(len(run), -(-edge[1:] * 4 // 3))
             continue
         got = inflate(data, most)
         if got is not None and (out := _readable(got)) is not None:
-            yield m.start(), out, [0] * len(out), [len(m[0])] * len(out)
+            yield out, np.broadcast_to(m.start(), len(out)), np.broadcast_to(m.end(), len(out))
 
 
 def scan(text: str, most: int = 16 << 20) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -169,13 +155,13 @@ def scan(text: str, most: int = 16 << 20) -> tuple[list[tuple[int, int, str]], l
         layer, starts, ends = work.pop()
         if starts is not None:
             for s, e, kind in base_spans(layer):
-                spans.add((min(starts[s:e]), max(ends[s:e]), kind))
-        for at, inner, a, b in unwrap(layer, most):
-            if starts is None:
-                a, b = [at + x for x in a], [at + x for x in b]
-            else:
-                a, b = [starts[at + x] for x in a], [ends[at + x - 1] for x in b]
-            key = (inner, a[0] if a else 0, b[-1] if b else 0)
+                spans.add((int(starts[s]), int(ends[e - 1]), kind))
+        for inner, a, b in unwrap(layer, most):
+            if not inner:
+                continue
+            if starts is not None:
+                a, b = starts[a], ends[b - 1]
+            key = (inner, int(a[0]), int(b[-1]))
             if key not in seen:
                 seen.add(key)
                 work.append((inner, a, b))

@@ -196,6 +196,15 @@ def test_secrets_in_layers():
     assert secret_scan.scan("x%41" * 50)[1] == [] and secret_scan.scan("")[1] == []
 
 
+def test_secret_escapes_in_place():
+    escaped = "".join(f"%{ord(c):02x}" for c in "hunter22hunter")
+    cases = [f"password = {escaped}", '"api_key": "' + "".join(f"\\u{ord(c):04x}" for c in "abcdefgh12") + '"', "".join(f"\\u{{{ord(c):x}}}" for c in "token=abcdefgh12"), f"%ff password={escaped}%fe"]
+    for text in cases:
+        base, every = secret_scan.scan(text)
+        assert base == [] and len(every) == 1 and every[0][2] == "assign", text
+    assert secret_scan.scan(cases[0])[1] == [(0, len(cases[0]), "assign")]
+
+
 def test_secret_columns(spark):
     texts = [*ODD, "token: abcdefgh12"]
     rows = secret_scan.find_secrets(docs(spark, texts).withColumn("secret_spans", F.lit(1))).orderBy("doc_id").collect()
