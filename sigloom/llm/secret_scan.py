@@ -3,6 +3,7 @@
 A worklist holds layers: the text itself, then whatever URL escapes, Unicode escapes, base64 and
 compression unwrap to. Each layer is scanned and searched for further wrapped runs until none is
 new; every layer keeps, for each of its characters, the span of the original text it stems from.
+Bytes are inflated until no compressed stream is left, over all members, and are latin-1 if no UTF-8.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import lzma
 import re
 import urllib.parse
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import zstandard
@@ -33,7 +36,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{2,7});|&#[xX]([0-9A-Fa-f]{2,6});")
 _URL_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\x80-\U0010ffff]*")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
+_URL_RUN = re.compile(r"[^\s\"<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"<>%]*)+")
+_BYTE_RUN = re.compile(r"(?:\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x9c\xda])[\x00-\xff]+")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]")
+_PIECE, _OVERLAP = 1 << 16, 1 << 16
+_DAMAGE = (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -46,33 +54,143 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in found]
 
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """What a gzip, zlib, bzip2, xz or Zstandard stream holds; None for other bytes, a broken stream or more than ``most`` bytes."""
+class _Source:
+    """A readable over pieces of bytes; what is pushed is read first."""
+
+    def __init__(self, pieces):
+        self.pieces, self.held, self.broken = iter(pieces), b"", False
+
+    def read(self, size: int = -1) -> bytes:
+        while not self.held:
+            got = next(self.pieces, None)
+            if got is None:
+                return b""
+            self.held = got
+        size = len(self.held) if size < 0 else size
+        out, self.held = self.held[:size], self.held[size:]
+        return out
+
+    def push(self, data: bytes) -> None:
+        self.held = data + self.held
+
+    def kind(self) -> str | None:
+        head = b""
+        while len(head) < 6 and (more := self.read(_PIECE)):
+            head += more
+        self.push(head)
+        return _kind(head)
+
+
+def _kind(data: bytes) -> str | None:
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return "zlib"
+    heads = {b"BZh": "bz2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
+    return next((k for h, k in heads.items() if data.startswith(h)), None)
+
+
+def inflated(source: _Source) -> Iterator[bytes]:
+    """What all members of a gzip, zlib, bzip2, xz or Zstandard stream hold, in pieces; a cut or damaged one as far as it goes.
+
+    What follows the last member is left in ``source``, and so is what only looks like a member.
+    """
+    used = b""  # of a member that has given nothing yet
+
+    def read() -> bytes:
+        nonlocal used
+        data = source.read(512)
+        used = used + data if used is not None else None
+        return data
+
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            step = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            step = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            step = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(most + 1)
-            return out if len(out) <= most else None
+        while kind := source.kind():
+            used = b""
+            if kind == "zstd":
+                step = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+                while not step.eof and (data := read()):
+                    if out := step.decompress(data):
+                        used = None
+                        yield out
+                if not step.eof:
+                    break
+                source.push(step.unused_data)
+                continue
+            step, data = zlib.decompressobj(47) if kind == "zlib" else bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor(), b""
+            while not step.eof:
+                if not data and (kind == "zlib" or step.needs_input):
+                    data = read()
+                    if not data:
+                        if kind == "zlib" and (out := step.flush()):
+                            used = None
+                            yield out
+                        break
+                if out := step.decompress(data, _PIECE):
+                    used = None
+                    yield out
+                data = step.unconsumed_tail if kind == "zlib" else b""
+            if not step.eof:
+                break
+            source.push(step.unused_data)
         else:
-            return None
-        out = step.decompress(data, most + 1)
-        return out if step.eof and len(out) <= most else None
-    except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError):
-        return None
+            return
+    except _DAMAGE:
+        pass
+    source.broken = True
+    source.push(used or b"")
+
 
+def contents(data: bytes, most: int, took: list[int] | None = None) -> Iterator[bytes]:
+    """What ``data`` holds once no compressed stream is left, and what stands behind inner streams.
 
-def _readable(data: bytes) -> str | None:
+    More than ``most`` bytes come in chunks that overlap, so memory stays bounded; a run without
+    blanks and quotes is cut only if it is longer than half a chunk. ``took`` gets the bytes of ``data``
+    that its own stream has, if they are known before the first chunk.
+    """
+    source, raw, tails = _Source([data]), data, []
+    while source.kind():
+        before, held, size = source, [], 0
+        pieces = inflated(before)
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece)
+            if size > most:
+                break
+        if not size and before.broken:  # only looks like a stream
+            break
+        if size <= most:
+            if before.broken and raw is not None and raw is not data:
+                yield raw
+            rest = b"".join(iter(before.read, b""))
+            if raw is data:
+                if took is not None:
+                    took.append(len(data) - len(rest))
+            elif rest:
+                yield from _chunks(_Source([rest]), most)
+        elif raw is not data:
+            tails.append(before)
+        raw = b"".join(held) if size <= most else None
+        source = _Source([raw] if raw is not None else chain(held, pieces))
+    for x in (source, *reversed(tails)):
+        yield from _chunks(x, most)
+
+
+def _chunks(source: _Source, most: int) -> Iterator[bytes]:
+    chunk = b""
+    while piece := source.read():
+        chunk += piece
+        while len(chunk) > most:
+            out = chunk[:most]
+            edge = max(out.rfind(c, most // 2, most - min(_OVERLAP, most // 2)) for c in (b" ", b"\n", b'"', b"'", b">"))
+            yield out
+            chunk = chunk[edge + 1 if edge >= 0 else most - min(_OVERLAP, most // 2) :]
+    if chunk:
+        yield chunk
+
+
+def _text(data: bytes) -> str:
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and _PLAIN.fullmatch(text) else None
+        return data.decode("latin-1")
 
 
 def _escapes(layer: str, one: re.Pattern, decode) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -125,46 +243,72 @@ def unwrap(text: str, most: int):
         yield got
     if ("\\" in text or "&#" in text) and (got := _escapes(text, _UNICODE_ONE, _unicode)):
         yield got
-    for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
+    for m in chain(_BASE64.finditer(text), _WRAPPED.finditer(text)):
+        run = np.array([m.start() + i for i, ch in enumerate(m[0]) if ch not in " \t\r\n>="], np.int64)
+        run = run[: len(run) - (len(run) % 4 == 1)]
+        letters = "".join(ch for ch in m[0] if ch not in " \t\r\n>=")[: len(run)]
         try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
+            data = base64.b64decode(letters.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        out = _readable(data)
-        if out is not None:
-            edge = np.cumsum([0, *(len(ch.encode()) for ch in out)])
-            yield out, m.start() + edge[:-1] * 4 // 3, m.start() + np.minimum(len(run), -(-edge[1:] * 4 // 3))
-            continue
-        got = inflate(data, most)
-        if got is not None and (out := _readable(got)) is not None:
-            yield out, np.broadcast_to(m.start(), len(out)), np.broadcast_to(m.end(), len(out))
+        out = _text(data)
+        edge = np.cumsum([0, *(len(ch.encode()) for ch in out)]) if len(out) < len(data) else np.arange(len(data) + 1)
+        yield out, run[edge[:-1] * 4 // 3], run[np.minimum(len(run), -(-edge[1:] * 4 // 3)) - 1] + 1
+        if _kind(data):
+            for part in contents(data, most):
+                if part != data:
+                    yield _whole(part, m.start(), m.end())
+    if "%" in text:
+        for m in _URL_RUN.finditer(text):
+            data = urllib.parse.unquote_to_bytes(m[0])
+            for at in _MAGIC.finditer(data):
+                for part in contents(data[at.start() :], most):
+                    if part != data[at.start() :]:
+                        yield _whole(part, m.start(), m.end())
+    for m in _BYTE_RUN.finditer(text):
+        data = m[0].encode("latin-1")
+        for at in _MAGIC.finditer(data):
+            took: list[int] = []
+            for part in contents(data[at.start() :], most, took):
+                if part != data[at.start() :]:
+                    yield _whole(part, m.start() + at.start(), m.start() + at.start() + took[0] if took else m.end())
+
+
+def _whole(data: bytes, start: int, end: int):
+    """A layer of which all that is known is the run that it stems from."""
+    out = _text(data)
+    return out, np.broadcast_to(start, len(out)), np.broadcast_to(end, len(out))
+
+
+def _placed(layers, starts, ends):
+    """``layers`` of a layer with their spans in the original text."""
+    for inner, a, b in layers:
+        yield (inner, a, b) if starts is None or not inner else (inner, starts[a], ends[b - 1])
 
 
 def scan(text: str, most: int = 16 << 20) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans of ``text``, and all spans with those of its unwrapped layers, in code points of ``text``.
 
     A layer that was met before (as an equal text at an equal place) is not queued again, so the
-    worklist ends; one that inflates to more than ``most`` bytes is left closed.
+    worklist ends; one that inflates to more than ``most`` bytes is read in chunks, one at a time.
     """
     base = base_spans(text)
-    spans, seen, work = set(base), set(), [(text, None, None)]
+    spans, seen, work = set(base), set(), [iter([(text, None, None)])]
     while work:
-        layer, starts, ends = work.pop()
+        layer, starts, ends = next(work[-1], (None, None, None))
+        if layer is None:
+            work.pop()
+            continue
         if starts is not None:
+            if not layer:
+                continue
+            key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(starts[0]), int(ends[-1]))
+            if key in seen:
+                continue
+            seen.add(key)
             for s, e, kind in base_spans(layer):
                 spans.add((int(starts[s]), int(ends[e - 1]), kind))
-        for inner, a, b in unwrap(layer, most):
-            if not inner:
-                continue
-            if starts is not None:
-                a, b = starts[a], ends[b - 1]
-            key = (inner, int(a[0]), int(b[-1]))
-            if key not in seen:
-                seen.add(key)
-                work.append((inner, a, b))
+        work.append(_placed(unwrap(layer, most), starts, ends))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(spans, key=lambda x: (x[0], order[x[2]], x[1]))
 

@@ -1,9 +1,11 @@
 """Each operator on small tables: defined cases, and results against plain versions."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import html
+import lzma
 import math
 import random
 import re
@@ -12,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -196,6 +199,24 @@ def test_secrets_in_layers():
     assert secret_scan.scan("x%41" * 50)[1] == [] and secret_scan.scan("")[1] == []
 
 
+def test_secret_byte_layers():
+    secret = b"x password=hunter2hunter2 "
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    noise = random.Random(1).randbytes(400)
+    big = gzip.compress(bytes(300_000) + secret + bytes(300_000), mtime=0)
+    lines = b64(gzip.compress(noise + secret, mtime=0))
+    layers = {
+        "gzip of gzip": b64(gzip.compress(gzip.compress(secret, mtime=0), mtime=0)), "zlib of gzip": b64(zlib.compress(gzip.compress(secret, mtime=0))), "control": b64(b"\x01" + secret),
+        "no utf-8": b64(b"\xff\xfe" + secret), "url": "d=" + "".join(f"%{c:02X}" for c in gzip.compress(secret, mtime=0)), "wrapped": "\n".join(lines[i : i + 76] for i in range(0, len(lines), 76)),
+        "second member": b64(gzip.compress(b"a" * 50, mtime=0) + gzip.compress(secret, mtime=0)), "cut": b64(gzip.compress(secret + noise, mtime=0)[:-40]), "large": b64(big), "behind": b64(gzip.compress(b"a" * 50, mtime=0) + secret),
+        "bz2": b64(bz2.compress(bz2.compress(secret))), "xz": b64(lzma.compress(secret) * 2), "zstd": b64(zstandard.compress(b"abc") + zstandard.compress(secret)), "large twice": b64(gzip.compress(gzip.compress(noise * 999 + secret, mtime=0))),
+    }
+    for name, wrapped in layers.items():
+        base, every = secret_scan.scan(f"see {wrapped} end", 100_000)
+        assert base == [] and [k for *_, k in every].count("assign") >= 1, name
+        assert all(4 <= s < e <= 4 + len(wrapped) for s, e, _ in every), name
+
+
 def test_secret_escapes_in_place():
     escaped = "".join(f"%{ord(c):02x}" for c in "hunter22hunter")
     cases = [f"password = {escaped}", '"api_key": "' + "".join(f"\\u{ord(c):04x}" for c in "abcdefgh12") + '"', "".join(f"\\u{{{ord(c):x}}}" for c in "token=abcdefgh12"), f"%ff password={escaped}%fe"]
