@@ -3,8 +3,10 @@
 The index is inverted and cut into blocks of items with the largest weight of each term in each
 block. Every passage of every document is a query: block bounds of a whole batch of passages are
 added up at once, and block-max WAND runs for the passages and blocks that can still reach the
-threshold. All hits are then verified against the whole document: the question's word shingles and
-the answer's words have to be there.
+threshold. What no single passage reaches (a question far from its answer, or in pieces) is retrieved
+over the whole document: one that holds enough of a question's shingles holds one of its rarest, as
+many as may be missing and one more. All hits are then verified against the whole document: the
+question's word shingles and the answer's words have to be there.
 """
 
 from __future__ import annotations
@@ -65,6 +67,8 @@ class Index:
             run = min(len(order), PASSAGE - STRIDE + 1)
             poorest = min(sum(raw[t] for t in set(order[k : k + run])) for k in range(len(order) - run + 1)) / own
             self.least.append(poorest * overlap * 0.75)
+        self.weights = self._weights(postings, n)
+        self.rare = self._rare()
         self.terms = np.array(sorted(postings), np.uint64)
         self.at = {int(t): k for k, t in enumerate(self.terms)}
         self.lists = [postings[int(t)] for t in self.terms]
@@ -76,6 +80,62 @@ class Index:
                 b = i // block
                 self.bounds[k, b] = max(self.bounds[k, b], w / self.least[i] * (1 + 1e-6))
 
+    @staticmethod
+    def _weights(postings: dict[int, list[tuple[int, float]]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The sorted terms of each item with their weights."""
+        own: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for t in sorted(postings):
+            for i, w in postings[t]:
+                own[i].append((t, w))
+        return [(np.array([t for t, _ in x], np.uint64), np.array([w for _, w in x])) for x in own]
+
+    def _rare(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By words in a shingle: sorted shingles, where the items of each begin, and the items.
+
+        Only the rarest shingles of each question, so many that a document without any of them misses too many.
+        """
+        df = Counter(x for n, q in zip(self.sizes, self.questions, strict=True) for x in zip([n] * len(q), q.tolist(), strict=True))
+        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, (n, q) in enumerate(zip(self.sizes, self.questions, strict=True)):
+            need = max(1, int(np.ceil(len(q) * (self.overlap - 1e-9) - 1e-9)))
+            for x in sorted(q.tolist(), key=lambda x: (df[n, x], x))[: len(q) - need + 1]:
+                pairs[n].append((x, i))
+        out = {}
+        for n, own in pairs.items():
+            own.sort()
+            keys, at = np.unique(np.array([x for x, _ in own], np.uint64), return_index=True)
+            out[n] = keys, np.append(at, len(own)), np.array([i for _, i in own], np.int64)
+        return out
+
+    def spread(self, hashes: np.ndarray, counts: np.ndarray) -> list[set[int]]:
+        """For each text all items of which it holds enough question shingles, wherever they stand, and some more."""
+        out: list[set[int]] = [set() for _ in counts]
+        ends = np.cumsum(counts)
+        for n, (keys, at, items) in self.rare.items():
+            if len(hashes) < n:
+                continue
+            h = mix64(np.uint64(n) + combine(hashes, n))
+            k = np.searchsorted(keys, h)
+            k[k == len(keys)] = 0
+            where = np.flatnonzero(keys[k] == h)
+            text = np.searchsorted(ends, where, "right")
+            inside = where + n <= ends[text]
+            for key in np.unique(text[inside] * len(keys) + k[where[inside]]).tolist():
+                x = key % len(keys)
+                out[key // len(keys)].update(items[at[x] : at[x + 1]].tolist())
+        return out
+
+    def score(self, item: int, words: np.ndarray) -> float:
+        """The best BM25 score of a text's passages for an item."""
+        terms, weights = self.weights[item]
+        k = np.searchsorted(terms, words)
+        k[k == len(terms)] = 0
+        where = np.flatnonzero(terms[k] == words)
+        tiles: dict[int, set[int]] = defaultdict(set)
+        for p, t in zip((where // STRIDE).tolist(), k[where].tolist(), strict=True):
+            tiles[p].add(t)
+        return max((float(weights[sorted(tiles[p] | tiles.get(p + 1, set()))].sum()) for p in sorted({*tiles, *(x - 1 for x in tiles if x)}, reverse=True)), default=0.0)
+
     def search(self, terms: list[int], blocks: np.ndarray) -> dict[int, float]:
         """All items of the given blocks whose score for the distinct ``terms`` reaches their threshold, by block-max WAND."""
         found: dict[int, float] = {}
@@ -191,13 +251,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, overlap: f
         def fn(texts, before, index=index):
             ix, raw = index.value, [t.lower() for t in utf8(texts)]
             hashes, counts = word_hashes(raw)
-            found, at, rows = ix.retrieve(hashes, counts), 0, []
+            found, far, at, rows = ix.retrieve(hashes, counts), ix.spread(hashes, counts), 0, []
             for k, (n, best) in enumerate(zip(counts.tolist(), found, strict=True)):
                 row, seen = {h["item_id"]: h for h in before[k]}, {}
-                for item, value in best.items():
+                for item in sorted({*best, *far[k]}):
                     q, a = ix.verify(item, hashes[at : at + n], seen)
                     if q >= overlap - 1e-9 and a >= overlap - 1e-9 and (ix.ids[item] not in row or row[ix.ids[item]]["question"] < q):
-                        row[ix.ids[item]] = {"item_id": ix.ids[item], "bm25": value, "question": q, "answer": a}
+                        row[ix.ids[item]] = {"item_id": ix.ids[item], "bm25": best[item] if item in best else ix.score(item, hashes[at : at + n]), "question": q, "answer": a}
                 rows.append(sorted(row.values(), key=lambda h: (h["item_id"] is None, h["item_id"] or 0)))
                 at += n
             return (rows,)

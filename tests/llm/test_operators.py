@@ -373,6 +373,17 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, ["x"]), bench.limit(0)).first()["hits"] == []
 
 
+def test_leaks_apart(spark):
+    part = lambda kind, n: [f"{kind}{i}" for i in range(n)]
+    items = [(1, " ".join(part("q", 10)) + "\n" + " ".join(part("a", 10))), (2, " ".join(part("r", 44))), (3, "what is this\n" + " ".join(part("b", 60)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pieces = " ".join(" ".join(part("r", 44)[i : i + 14]) + " " + words(90, 70 + i) for i in range(0, 40, 10))
+    answer = " ".join(f"{w} {words(40, 80 + i)}" for i, w in enumerate(part("b", 48)))
+    texts = [" ".join(part("q", 10)) + f" {words(100, 60)} " + " ".join(part("a", 10)), pieces, f"what is this {answer}", " ".join(part("q", 8)[:7] + part("a", 10))]
+    found = decontaminate.find_leaks(docs(spark, texts), bench).orderBy("doc_id").collect()
+    assert [[h["item_id"] for h in r["hits"]] for r in found] == [[1], [2], [3], []] and all(0 < h["bm25"] < 1 for r in found for h in r["hits"])
+
+
 def test_retrieval_is_whole():
     items = [(i, words(15 + i % 45, i, 400)) for i in range(120)]
     index = decontaminate.Index(items)
