@@ -33,9 +33,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    """One row of each group of near copies: the one with the smallest doc_id, nulls last; rows without words all stay."""
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS])
+    keyed = docs.select(*COLUMNS).withColumn("_row", key)
+    near = near_duplicates(keyed, words=5, percent=80, id_col="_row")
+    # rows that are equal in all columns share a key, and n counts them
+    near = near.groupBy(F.col("doc_id").alias("_row"), "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "n", "n_shingles")
+    kept = near.join(keyed.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(F.min(order).alias("r"))
+    kept = staged(kept.select("r._row", ((F.col("r.n") > 1) & (F.col("r.n_shingles") > 0)).alias("_again")).groupBy("_row").agg(F.max("_again").alias("_again")), "kept")
+    out = keyed.join(kept, "_row")
+    return out.where("not _again").select(*COLUMNS).unionByName(out.where("_again").select(*COLUMNS).dropDuplicates())
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

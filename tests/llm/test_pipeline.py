@@ -41,3 +41,14 @@ def test_stages(spark, tmp_path):
     lines = spark.read.parquet(str(tmp_path / "line_dedup")).where(F.col("text").contains("Common line")).count()
     assert lines == 0
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_near_copies_keep_one_row_of_a_component(spark):
+    import corpus_pipeline as pipeline
+
+    one, two = words(60, 1), words(60, 2)
+    rows = [(7, one), (7, one), (7, one + " tail"), (None, one), (8, one), (None, two), (None, two), (None, two + " end"), (5, None), (5, None), (None, ""), (6, words(60, 3))]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_copies(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"] and r["text"].split()[0]) for r in got if r["text"]) == sorted([("7", one.split()[0]), ("None", two.split()[0]), ("6", words(1, 3))])
+    assert sorted(str(r["doc_id"]) for r in got if not r["text"]) == ["5", "5", "None"]
