@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import combine, mix64, utf8, with_arrow, word_hashes
+from sigloom.llm.common import combine, mix64, staged, utf8, with_arrow, word_hashes
 
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32
@@ -41,7 +41,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """The inverted index of one part of the items. Weights are BM25 over an item's own score, so all lie in 0 to 1."""
 
-    def __init__(self, items: list[tuple[int, str]], words: int = 5, overlap: float = 0.8, block: int = 16):
+    def __init__(self, items: list[tuple[int, str]], words: int = 5, overlap: float = 0.8, block: int = 16, whole: tuple[int, float, dict[int, int]] | None = None):
         parsed = []
         for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             question, answer = split_item(text or "")
@@ -52,8 +52,9 @@ class Index:
         self.questions, self.sizes, self.answers = [p[2] for p in parsed], [p[3] for p in parsed], [p[4] for p in parsed]
         self.overlap, self.block = overlap, block
         n, mean = len(parsed), sum(len(p[1]) for p in parsed) / max(len(parsed), 1)
-        df = Counter(t for p in parsed for t in set(p[1].tolist()))
-        idf = {t: float(np.log(1 + (n - k + 0.5) / (k + 0.5))) for t, k in df.items()}
+        # items, mean length and the items of each term: of the whole benchmark where this is a part of it
+        known, mean, df = whole or (n, mean, Counter(t for p in parsed for t in set(p[1].tolist())))
+        idf = {t: float(np.log(1 + (known - k + 0.5) / (k + 0.5))) for t, k in df.items()}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.least = []
         for i, p in enumerate(parsed):
@@ -224,6 +225,22 @@ class Index:
         return in_q, in_a
 
 
+def _counts(items: DataFrame) -> DataFrame:
+    """(part, t, n) of ``items`` (part, text): a row with its length for each item with words, and one for each of its distinct terms t."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1).to_pylist()), strict=True):
+                w = word_hashes([text.lower()])[0]
+                if len(w):
+                    t = np.unique(w).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * (len(t) + 1), pa.int64()), pa.array([None, *t.tolist()], pa.int64()), pa.array([len(w)] + [0] * len(t), pa.int64())], names=["part", "t", "n"])
+
+    return items.mapInArrow(run, "part long, t long, n long")
+
+
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("bm25", T.DoubleType()), T.StructField("question", T.DoubleType()), T.StructField("answer", T.DoubleType())]))
 
 
@@ -244,9 +261,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, overlap: f
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-int(size) // part_bytes))
     out = docs.withColumn(hits, F.array().cast(HITS))
+    at_part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    if parts > 1:
+        terms = staged(_counts(items.select(at_part.cast("long").alias("part"), "text")), "terms")
+        n, length = terms.where("t is null").agg(F.count(F.lit(1)), F.sum("n")).first()
+        df = staged(terms.where("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("k")), "df")
     for part in range(parts):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
-        index = spark.sparkContext.broadcast(Index(own, words, overlap))
+        own, whole = [tuple(r) for r in items.where(at_part == part).collect()], None
+        if parts > 1:
+            mine = terms.where((F.col("part") == part) & F.col("t").isNotNull()).select("t").distinct().join(df, "t").collect()
+            whole = n, (length or 0) / max(n, 1), {r["t"] % (1 << 64): r["k"] for r in mine}
+        index = spark.sparkContext.broadcast(Index(own, words, overlap, whole=whole))
 
         def fn(texts, before, index=index):
             ix, raw = index.value, [t.lower() for t in utf8(texts)]

@@ -384,6 +384,14 @@ def test_leaks_apart(spark):
     assert [[h["item_id"] for h in r["hits"]] for r in found] == [[1], [2], [3], []] and all(0 < h["bm25"] < 1 for r in found for h in r["hits"])
 
 
+def test_scores_do_not_depend_on_parts(spark):
+    items = [(i, words(20 + i, i, 200)) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs(spark, [f"{items[i][1]} {words(20, 30 + i, 200)}" if i % 2 else " ".join(items[i][1].split()[2:]) for i in range(12)])
+    got = [[[(h["item_id"], round(h["bm25"], 9)) for h in r["hits"]] for r in decontaminate.find_leaks(df, bench, part_bytes=b).orderBy("doc_id").collect()] for b in (8 << 20, 500)]
+    assert got[0] == got[1] and all(got[0])
+
+
 def test_retrieval_is_whole():
     items = [(i, words(15 + i % 45, i, 400)) for i in range(120)]
     index = decontaminate.Index(items)
