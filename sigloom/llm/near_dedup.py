@@ -11,7 +11,9 @@ make that one in a million, and sketches turn down at most one more (``miss_boun
 What bounds memory and skew: equal sets are one class from the start; nodes are counted, never
 gathered, until they are known to be small; large nodes send a member to its leader only, so a
 dense group costs one comparison a member; what is left of a node then goes through blocks, which
-costs the square of its size where its members are all apart. No stage holds more than ``node_size`` documents at once, and links stay in tables.
+costs the square of its size where its members are all apart. A block holds a bounded number of
+shingles, whatever the lengths of its documents, and no stage gathers more than ``node_size``
+documents or two blocks at once. Links stay in tables.
 """
 
 from __future__ import annotations
@@ -126,24 +128,34 @@ def candidate_groups(members: list[dict], percent: int) -> list[list[bytes]]:
     return [sorted(g) for g in groups.values() if len(g) > 1]
 
 
-def confirmed(sets: list[np.ndarray], percent: int, pairs=None, known: list[list[int]] = ()) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets`` at the threshold, on full sets.
+def spanning_links(sets: list[np.ndarray], percent: int, asked: np.ndarray | None = None, known: list[list[int]] = ()) -> list[tuple[int, int]]:
+    """Links that span the components of ``sets`` (each of distinct items) at the threshold.
 
-    Only ``pairs`` (i, j), i < j, are compared if given; ``known`` are groups that are connected already.
+    Each set that is ``asked`` (default: all) is held against all sets at once: its items are marked
+    and every set counts its marks. ``known`` are groups that are connected already.
     """
     forest, links = Forest(len(sets)), []
     for group in known:
         for i in group[1:]:
             forest.join(group[0], i)
-    for i, j in pairs if pairs is not None else ((i, j) for j in range(1, len(sets)) for i in range(j)):
-        a, b = sets[i], sets[j]
-        small, large = (len(a), len(b)) if len(a) <= len(b) else (len(b), len(a))
-        if not small or 100 * small < percent * large or forest.root(i) == forest.root(j):
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full) < 2:
+        return links
+    items = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)[1]
+    size = sizes[full]
+    ends = np.cumsum(size)
+    mark = np.zeros(int(items.max()) + 1, np.int32)
+    for k, i in enumerate(full.tolist()):
+        if asked is not None and not asked[i]:
             continue
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        if 100 * both >= percent * (small + large - both):
-            forest.join(i, j)
-            links.append((i, j))
+        own = items[ends[k] - size[k] : ends[k]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[items], ends - size)
+        mark[own] = 0
+        for j in full[100 * both >= percent * (size + size[k] - both)].tolist():
+            if forest.join(i, j):
+                links.append((min(i, j), max(i, j)))
     return links
 
 
@@ -162,7 +174,7 @@ def plan_trees(percent: int, miss: float = 1e-6) -> tuple[int, int]:
     raise AssertionError
 
 
-def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, node_size: int = 256, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, node_size: int = 256, block: int = 400_000, text: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (cid, doc_id, n_docs), and links (a, b) between classes that span all components."""
     classes = staged(
         sig.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1")).alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.max("tokens").alias("tokens")),
@@ -208,17 +220,17 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
                             top, lead = equal, h["cid"]
                     best.append(lead)
                     first.append(many[0]["cid"])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.binary()), pa.array(first, pa.binary())], names=["path", "cid", "lead", "first"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(best, pa.binary()), pa.array(first, pa.binary())], names=["path", "cid", "n", "lead", "first"])
 
-        tagged = staged(tagged.mapInArrow(near, "path long, cid binary, lead binary, first binary"), "leaders")
+        tagged = staged(tagged.mapInArrow(near, "path long, cid binary, n long, lead binary, first binary"), "leaders")
         pairs = tagged.where("lead is not null").select("lead", "cid").distinct()
         stars = staged(_confirm_stars(pairs, texts, words, percent, node_size), "stars").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
         # pairs within one component have nothing to add: members apart from their node's first leader are open
         roots = staged(components(stars), "roots")
-        open_ = tagged.select("path", "cid", "first").join(roots.select(F.col("node").alias("cid"), F.col("root").alias("own")), "cid", "left")
+        open_ = tagged.select("path", "cid", "n", "first").join(roots.select(F.col("node").alias("cid"), F.col("root").alias("own")), "cid", "left")
         open_ = open_.join(roots.select(F.col("node").alias("first"), F.col("root").alias("theirs")), "first", "left")
         own = F.coalesce("own", "cid")
-        blocks = open_.select("path", "cid", own.alias("root"), (own != F.coalesce("theirs", "first")).alias("q"))
+        blocks = open_.select("path", "cid", "n", own.alias("root"), (own != F.coalesce("theirs", "first")).alias("q"))
 
     def split(batches):
         import pyarrow as pa
@@ -232,7 +244,7 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
     members = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid")).distinct()
     links = members.join(texts, "cid").groupBy("g").applyInArrow(_within(words, percent), "a binary, b binary")
     if blocks is not None:
-        links = links.unionByName(stars).unionByName(_confirm_blocks(blocks, marks, texts, words, percent, node_size))
+        links = links.unionByName(stars).unionByName(_confirm_blocks(blocks, texts, words, percent, block))
     return classes, staged(links.distinct(), "links")
 
 
@@ -256,7 +268,7 @@ def _within(words: int, percent: int):
         order = sorted(range(len(cids)), key=cids.__getitem__)
         texts = table.column("text").to_pylist()
         sets = _sets([texts[i] for i in order], words)
-        links = confirmed(sets, percent)
+        links = spanning_links(sets, percent)
         return pa.table({"a": pa.array([cids[order[i]] for i, _ in links], pa.binary()), "b": pa.array([cids[order[j]] for _, j in links], pa.binary())})
 
     return run
@@ -287,40 +299,30 @@ def _confirm_stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int,
     return whole.groupBy("lead", "part").applyInArrow(run, "lead binary, cid binary")
 
 
-def _confirm_blocks(blocks: DataFrame, marks: DataFrame, texts: DataFrame, words: int, percent: int, node_size: int) -> DataFrame:
-    """Large nodes: their open members as queries against all members, block by block, on sketches and then on full sets.
+def _confirm_blocks(blocks: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Large nodes: their open members as queries against all members, block by block, on full sets.
 
-    Members of one component (root) need no comparison, so a query ends at its first link to each.
+    Members of one component (root) need no comparison, so only links between roots are found.
     """
     blocks = staged(blocks, "blocks")
-    count = blocks.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("open")).where("open > 0")
-    count = count.select("path", F.ceil(F.col("n") / node_size).alias("parts"), F.ceil(F.col("open") / node_size).alias("asked"))
-    rows = blocks.join(count, "path").withColumn("part", F.pmod(F.xxhash64("cid"), "parts")).withColumn("ask", F.pmod(F.xxhash64(F.lit(3), "cid"), "asked"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    sides = rows.select("path", "cid", "root", F.lit(False).alias("q"), "part", each("asked").alias("ask"))
-    sides = sides.unionByName(rows.where("q").select("path", "cid", "root", F.lit(True).alias("q"), each("parts").alias("part"), "ask"))
-    whole = sides.join(marks, "cid").join(texts, "cid")
-    least = least_matches(percent)
+    weight = lambda n: F.ceil(F.col(n) / block).cast("long")
+    count = blocks.groupBy("path").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("q"), F.col("n"))).alias("open")).where("open > 0")
+    count = count.select("path", weight("all").alias("parts"), weight("open").alias("asks"))
+    rows = blocks.join(count, "path").withColumn("part", F.pmod(F.xxhash64("cid"), "parts")).withColumn("ask", F.pmod(F.xxhash64(F.lit(3), "cid"), "asks"))
+    # each member goes to its part, once for every block of queries; a query also to all other parts
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1), lambda a: F.struct(F.col("part").alias("part"), a.alias("ask"), (F.col("q") & (a == F.col("ask"))).alias("q")))
+    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.col("q") & (p != F.col("part"))), lambda p: F.struct(p.alias("part"), F.col("ask").alias("ask"), F.col("q").alias("q")))
+    sides = rows.select("path", "cid", "root", F.explode(F.concat(places, others)).alias("at")).select("path", "cid", "root", "at.*")
+    whole = sides.join(texts, "cid")
 
     def run(table):
         import pyarrow as pa
 
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("cid", "q", "root", "text", "marks")), strict=True), key=lambda r: (r[0], r[1]))
-        cids, asked = [r[0] for r in rows], [r[1] for r in rows]
-        roots = {}
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("cid", "q", "root", "text")), strict=True), key=lambda r: r[:2])
+        cids, roots = [r[0] for r in rows], {}
         for i, r in enumerate(rows):
             roots.setdefault(r[2], []).append(i)
-        own = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, TOKENS)
-        fit = np.stack([(own == o).sum(axis=1) >= least for o in own])
-        sides = np.array(asked)
-        # members of one root are connected, so only what spans roots is worth a full set
-        group = np.unique([r[2] for r in rows], return_inverse=True)[1]
-        fit &= (sides[:, None] | sides) & (group[:, None] != group)
-        near = np.flatnonzero(fit.any(axis=1)).tolist()
-        sets = [np.empty(0, np.uint64)] * len(rows)
-        for i, x in zip(near, _sets([rows[i][3] for i in near], words), strict=True):
-            sets[i] = x
-        links = confirmed(sets, percent, [(i, j) for j, i in zip(*(x.tolist() for x in np.nonzero(np.tril(fit, -1))), strict=True)], list(roots.values()))
+        links = spanning_links(_sets([r[3] for r in rows], words), percent, np.array([r[1] for r in rows]), list(roots.values())) if len(roots) > 1 else []
         return pa.table({"a": pa.array([cids[i] for i, _ in links], pa.binary()), "b": pa.array([cids[j] for _, j in links], pa.binary())})
 
     return whole.groupBy("path", "part", "ask").applyInArrow(run, "a binary, b binary")
@@ -351,7 +353,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, node_size: int = 256, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, node_size: int = 256, block: int = 400_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts have A-Z lower-cased; words are runs outside 0x20 and 0x09-0x0D; a set holds the distinct
@@ -363,7 +365,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, node_siz
     where its doc_id is the component's. Other columns are left out.
     """
     sig = staged(signatures(docs, words, text, id_col), "sig")
-    classes, links = similar_links(docs, sig, words, percent, node_size, text=text, id_col=id_col)
+    classes, links = similar_links(docs, sig, words, percent, node_size, block, text=text, id_col=id_col)
     roots = components(links)
     own = classes.select("cid", F.col("rep.doc_id").alias("first"))
     tied = roots.join(own, roots["node"] == own["cid"]).select("cid", "root", "first")

@@ -305,8 +305,8 @@ def plain_components(texts, n, percent):
     return [(i, len(s), c, c == i) for i, (s, c) in enumerate(zip(sets, up, strict=True))]
 
 
-@pytest.mark.parametrize("node_size", [256, 3])
-def test_near_duplicates(spark, node_size):
+@pytest.mark.parametrize(("node_size", "block"), [(256, 400_000), (3, 400_000), (3, 200)])
+def test_near_duplicates(spark, node_size, block):
     rng, texts = random.Random(5), list(ODD)
     for g in range(6):
         base = words(80, g).split()
@@ -316,7 +316,7 @@ def test_near_duplicates(spark, node_size):
                 own[rng.randrange(80)] = f"new{rng.random()}"
             texts.append(" ".join(own))
     texts += [texts[-1].upper(), "few words", "Few  WORDS\n"]
-    got = near_duplicates(docs(spark, texts), words=3, percent=85, node_size=node_size).orderBy("doc_id").collect()
+    got = near_duplicates(docs(spark, texts), words=3, percent=85, node_size=node_size, block=block).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == plain_components(texts, 3, 85)
     assert near_duplicates(docs(spark, [])).count() == 0
 
@@ -327,7 +327,7 @@ def test_crowded_nodes_lose_no_pair(spark):
     for g in range(400):
         shared = [f"c{i}" for i in range(78)] + [f"p{g}.{i}" for i in range(2)]
         texts += [" ".join([*shared, *[f"o{g}.{side}.{i}" for i in range(10)]]) for side in "ab"]
-    got = near_duplicates(docs(spark, texts), words=1, percent=80, node_size=48)
+    got = near_duplicates(docs(spark, texts), words=1, percent=80, node_size=48, block=9000)
     assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, i // 2 * 2) for i in range(800)}
 
 
