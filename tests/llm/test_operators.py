@@ -19,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sigloom.llm import decontaminate, jpeg_media, mixing, near_dedup, quality_gam, secret_scan, warc_archive
+from sigloom.llm import decontaminate, html_extract, jpeg_media, mixing, near_dedup, quality_gam, secret_scan, warc_archive
 from sigloom.llm.common import shingle_sets, staged, word_hashes
 from sigloom.llm.grouping import suffix_arrays
 from sigloom.llm.html_extract import extract_text, main_text
@@ -248,6 +248,72 @@ def test_html_cases():
     assert main_text("<p>" * 3000 + "deep") == "deep" and main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def paragraph(n, seed):
+    return f"<p>{words(n, seed)}</p>"
+
+
+#: Menus, a side column and a foot without a telling name or kind.
+MENU = "<div class=k1>" + "".join(f"<div><a href=/{i}>{w}</a></div>" for i, w in enumerate(words(8, 77).split())) + "</div>"
+SIDE = "<div class=k2><div><a href=/1>one</a></div><div>two words</div><div><a href=/3>three</a></div></div>"
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<article>{}</article>", "{}", "<form action=/>{}</form>", "<div class=menu>{}</div>", "<table><tr><td>{}</table>"])
+def test_html_by_density_alone(wrap, monkeypatch):
+    main = "<h1>Head line</h1>" + "".join(paragraph(30 + 9 * i, i) for i in range(4)) + "<p>Short.</p>"
+    want = "\n".join(["Head line", *[words(30 + 9 * i, i) for i in range(4)], "Short."])
+    page = f"<html><body>{MENU}<div class=q>{wrap.format(main)}</div>{SIDE}</body></html>"
+    assert main_text(page) == want
+    # with density switched off the whole body is the text
+    monkeypatch.setattr(html_extract, "density", lambda *_: 0.0)
+    assert main_text(page) != want
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-prices", "alert-systems", "search-theory", "discussion", "commentary", "adventure", "bannerman"])
+def test_html_names_that_only_sound_like_furniture(name):
+    page = f"<body>{MENU}<article><h1>Title</h1>{paragraph(40, 1)}<section id={name}><h2>S</h2>{paragraph(50, 2)}{paragraph(30, 3)}</section>{paragraph(9, 4)}</article>{SIDE}</body>"
+    assert main_text(page) == "\n".join(["Title", words(40, 1), "S", words(50, 2), words(30, 3), words(9, 4)])
+
+
+def test_html_furniture_inside_an_article():
+    boxes = ['<div class="ad-box"><p>Buy one now</p></div>', "<ul><li><a href=1>one more</a><li><a href=2>two more</a></ul>", "<aside><p>By the way</p></aside>", '<div class="shareButtons">Tell all</div>']
+    page = f"<body>{MENU}<article><h1>Title</h1>{paragraph(60, 1)}{''.join(boxes)}{paragraph(50, 2)}<p><a href=3>{words(6, 9)}</a> {words(20, 3)}</p></article></body>"
+    assert main_text(page) == "\n".join(["Title", words(60, 1), words(50, 2), words(6, 9) + " " + words(20, 3)])
+
+
+def test_html_parts_beside_each_other():
+    parts = "".join(f"<div class=k{i}><h2>Head {i}</h2>{paragraph(40, i)}{paragraph(30, i + 50)}</div>" for i in range(4))
+    assert main_text(f"<body>{MENU}{parts}{SIDE}</body>") == "\n".join(line for i in range(4) for line in (f"Head {i}", words(40, i), words(30, i + 50)))
+
+
+def plain_density(node, share):
+    """The published formulas by recursion: (characters, tags, link characters, link tags, density)."""
+    c = t = lc = lt = 0
+    for x in node.children:
+        if isinstance(x, str):
+            c += len(" ".join(x.split()))
+        else:
+            a, b, d, e, _ = plain_density(x, share)
+            c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (x.tag == "a")
+    if node.tag == "a":
+        lc, lt = c, max(lt, 1)
+    if not c:
+        return c, t, lc, lt, 0.0
+    ratio = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c, t, lc, lt, c / max(t, 1) * (math.log(ratio, base) if share and ratio > 1 else float(not share))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<a>", "</a>", "<div>", "</div>", "<b>", "</b>", "some words here", "x", " "]), max_size=40))
+def test_html_densities(tokens):
+    nodes = html_extract.measure(html_extract.parse("".join(tokens)))
+    share = nodes[0].link_chars / max(nodes[0].chars, 1)
+    for node in nodes:
+        assert math.isclose(node.density, plain_density(node, share)[4], rel_tol=1e-9)
+        if not any(isinstance(x, html_extract.Node) and x.tag in ("a", "b") for x in node.children) and not any(isinstance(x, str) and x.strip() for x in node.children):
+            assert math.isclose(node.total, sum(plain_density(x, share)[4] for x in node.children if isinstance(x, html_extract.Node)) or node.density, rel_tol=1e-9)
+
+
 def test_html_columns(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a b</p></article>"), (2, None, None), (3, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit(5))
     assert [(r["text"], r["n_chars"]) for r in extract_text(df).orderBy("page_id").collect()] == [("a b", 3), ("", 0), ("", 0)]
