@@ -1,11 +1,14 @@
-"""What no window expresses: a machine runs over each key's messages, in time order, by ``applyInPandas``.
+"""What no window expresses: a machine runs over each key's messages, in time order.
 
 Used for feedback filters, RSI, reset on fire, top-k snapshots, graphs with cycles and code of the
-user. One task holds one key's messages at a time; keys run in parallel.
+user. Messages are dealt by key and sorted by key and time once; each task then reads its sorted rows
+as a stream of Arrow batches and takes up a fresh machine where a key begins. A task holds one batch
+and one machine, however many messages a key has; the sort spills. Keys run in parallel.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -45,27 +48,63 @@ def messages(pdf, kinds: list[str]):
         yield p, t, [x for x in v] if kinds[p].startswith("vector") else v
 
 
+def _values(batch, kinds: list[str]) -> dict[int, list]:
+    """The values of each port's type, as Python lists; a number that is null is NaN."""
+    columns = {k: batch.column(KINDS[k][0]) for k in set(kinds)}
+    lists = {k: c.fill_null(math.nan).to_pylist() if k == "number" and c.null_count else c.to_pylist() for k, c in columns.items()}
+    return {p: lists[k] for p, k in enumerate(kinds)}
+
+
+def _same(a, b) -> bool:
+    """Whether two keys are one; a NaN is the same as another."""
+    return a == b or all(x == y or x != x and y != y for x, y in zip(a, b, strict=True))
+
+
 def fold(inputs: list[Signal], make: Callable[[], Machine], output_kinds: list[str]) -> list[Signal]:
     """The outputs of a fresh machine for each key. Messages of equal times come by port."""
     keys, kinds = list(inputs[0].base.keys), [kind_of(s) for s in inputs]
     rows = tagged(inputs)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "t long, seq long, o int", _VALUES])
-    output_kinds = list(output_kinds)
-
-    def run(key, pdf):
-        import pandas as pd
-
-        machine, out = make(), []
-        for m in messages(pdf.sort_values(["t", "seq", "p"], kind="stable"), kinds):
-            out += machine.push([m])
-        columns: dict = {k: [v] * len(out) for k, v in zip(keys, key, strict=True)}
-        columns |= {"t": [t for _, t, _ in out], "seq": range(len(out)), "o": [o for o, _, _ in out]}
-        for kind, (name, _) in KINDS.items():
-            columns[name] = pd.Series([(float(v) if kind == "number" else v) if output_kinds[o] == kind else None for o, _, v in out], dtype=object)
-        return pd.DataFrame(columns)
-
-    done = rows.groupBy(*keys).applyInPandas(run, schema)
+    output_kinds, width = list(output_kinds), len(keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        plain = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.bool_())]
+        rest = [pa.field(n, k) for n, k in zip(["t", "seq", "o", *[n for n, _ in KINDS.values()]], plain, strict=True)]
+        final = None
+        machine, now, seq = None, None, 0
+
+        def packed(rows):
+            columns = [pa.array([r[0][i] for r in rows], final.field(i).type) for i in range(width)]
+            columns += [pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32())]
+            for kind in KINDS:
+                values = [(float(r[4]) if kind == "number" else r[4]) if output_kinds[r[3]] == kind else None for r in rows]
+                columns.append(pa.array(values, final.field(len(columns)).type))
+            return pa.RecordBatch.from_arrays(columns, schema=final)
+
+        for batch in batches:
+            if final is None:
+                final = pa.schema([*[batch.schema.field(i) for i in range(width)], *rest])
+            own = list(zip(*[batch.column(i).to_pylist() for i in range(width)], strict=True)) if keys else [()] * batch.num_rows
+            values, out = _values(batch, kinds), []
+            for i, (key, t, p) in enumerate(zip(own, batch.column("t").to_pylist(), batch.column("p").to_pylist(), strict=True)):
+                if machine is None or key != now and not _same(key, now):
+                    machine, now, seq = make(), key, 0
+                for o, u, v in machine.push([(p, t, values[p][i])]):
+                    out.append((now, seq, u, o, v))
+                    seq += 1
+                if len(out) >= 1 << 15:
+                    yield packed(out)
+                    out = []
+            if out:
+                yield packed(out)
+
+    # a fixed number of partitions: machines take far longer than the bytes that AQE would join tasks by
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, *keys) if keys else rows.repartition(1)
+    done = dealt.sortWithinPartitions(*keys, "t", "seq", "p").mapInArrow(run, schema)
     return [Signal(Base(done.where(F.col("o") == o).select(*keys, "t", "seq", F.col(KINDS[k][0]).alias("v")), tuple(keys), ("t", "seq")), "v") for o, k in enumerate(output_kinds)]
 
 
@@ -78,7 +117,7 @@ def single(spec: dict, inputs: list[Signal], output_kind: str = "number") -> Sig
 def iir(s: Signal, b: list[float], a: list[float]) -> Signal:
     """y = sum of b x - sum of a y of before, from as many messages on as ``b`` has; what is not there yet counts 0."""
     if not b:
-        raise ValueError("b_coeffs cannot be empty")
+        raise ValueError("a feedback filter without b coefficients")
     return single({"type": "InfiniteImpulseResponse", "b_coeffs": list(b), "a_coeffs": list(a)}, [s])
 
 

@@ -39,7 +39,7 @@ def interpolate(s: Signal, points: list, kind: str = "linear") -> Signal:
     """Piecewise through sorted points, the end pieces carried on; ``hermite`` takes slopes of neighbours, not scaled by widths."""
     pts = sorted((float(x), float(y)) for x, y in points)
     if len(pts) < 2:
-        raise ValueError("At least 2 points are required for interpolation")
+        raise ValueError("a curve takes two points or more")
     slopes = []
     for i in range(len(pts)):
         a, b = pts[max(i - 1, 0)], pts[min(i + 1, len(pts) - 1)]

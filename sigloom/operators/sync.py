@@ -33,7 +33,7 @@ def arithmetic(kind: str, signals: list[Signal]) -> Signal:
 
 def linear(signals: list[Signal], coefficients: list[float]) -> Signal:
     if len(coefficients) < 2 or len(coefficients) != len(signals):
-        raise ValueError("Linear requires at least 2 coefficients, one for each port")
+        raise ValueError("a weighted sum takes two ports or more and a coefficient for each")
     own = synced(signals)
     return own[0].map(reduce(lambda a, b: a + b, [F.lit(float(c)) * s.v for c, s in zip(coefficients, own, strict=True)]))
 

@@ -65,7 +65,7 @@ def resample_constant(s: Signal, interval: int, t0: int | None = None, snap_firs
     Each message gives the grid points since the one before it, so no point is looked up.
     """
     if interval <= 0:
-        raise ValueError("Time interval must be positive")
+        raise ValueError("the distance of grid points has to be above 0")
     dt, keys, rows = int(interval), s.base.keys, _pairs(s)
     origin = F.lit(int(t0 or 0)).cast("long") if t0 is not None or snap_first else F.col("t1")
     upto = _index(F.col("t"), origin, dt)
@@ -87,7 +87,7 @@ def resample_hermite(s: Signal, interval: int) -> Signal:
     An interval between two messages is filled once the message after it has come.
     """
     if interval <= 0:
-        raise ValueError("Resampling interval must be positive")
+        raise ValueError("the distance of grid points has to be above 0")
     s, dt = s.solid(), int(interval)
     keys, w, number = s.base.keys, s.base.window, s.base.count()
     rows = s.base.df.select(

@@ -12,7 +12,7 @@ from sigloom.plans.signal import Base, Signal
 
 def _last(s: Signal, n: int):
     if n < 1:
-        raise ValueError("the window size must be at least 1")
+        raise ValueError("a window holds 1 message or more")
     return s.base.window.rowsBetween(-(n - 1), 0)
 
 
@@ -61,7 +61,7 @@ def difference(s: Signal, newer_time: bool = True) -> Signal:
 def peaks(s: Signal, n: int) -> Signal:
     """Messages greater than all others in the odd window around them, at their own time."""
     if n < 3 or n % 2 == 0:
-        raise ValueError("PeakDetector window size must be odd and at least 3")
+        raise ValueError("a peak needs an odd window of 3 or more")
     s, h = s.solid(), (n - 1) // 2
     before, after = s.base.window.rowsBetween(-h, -1), s.base.window.rowsBetween(1, h)
     plain = F.when(~F.isnan(s.v), s.v)
@@ -73,7 +73,7 @@ def peaks(s: Signal, n: int) -> Signal:
 
 def fir(s: Signal, coefficients: list[float]) -> Signal:
     if not coefficients:
-        raise ValueError("FIR coefficients cannot be empty")
+        raise ValueError("a filter without coefficients")
     s = s.solid()
     terms = [F.lit(float(c)) * (F.lag(s.v, i).over(s.base.window) if i else s.v) for i, c in enumerate(coefficients)]
     return s.full(len(coefficients), reduce(lambda a, b: a + b, terms))

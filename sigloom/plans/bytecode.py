@@ -81,7 +81,7 @@ def validate(code: list[float], outputs: int | None = None, constants: int = 0,
         if name == "FIR_UPDATE" and (args[1] < 1 or sum(args) > coefficients) or name == "IIR_UPDATE" and (args[0] < 1 or sum(args) > coefficients):
             raise ValueError(f"{name}: coefficients are out of range")
         if name in ("MA_UPDATE", "MSUM_UPDATE", "STD_UPDATE", "WIN_MIN", "WIN_MAX") and args[0] < 1:
-            raise ValueError(f"{name}: window size must be at least 1")
+            raise ValueError(f"{name}: a window holds 1 message or more")
         if stateless and (name in STATEFUL or name == "GATE"):
             raise ValueError(f"{name} isn't stateless")
         if name == "END":

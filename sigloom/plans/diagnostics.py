@@ -37,7 +37,7 @@ def diagnose(text: str | dict) -> dict:
         try:
             text = json.loads(text)
         except json.JSONDecodeError as wrong:
-            errors.append(_entry("INVALID_JSON", "", f"Invalid JSON: {wrong}"))
+            errors.append(_entry("INVALID_JSON", "", f"this is no JSON: {wrong}"))
             return done()
     if not isinstance(text, dict) or not isinstance(text.get("operators"), list):
         errors.append(_entry("SCHEMA_VALIDATION", "/operators", "a program is an object with a list of operators"))
@@ -48,18 +48,18 @@ def diagnose(text: str | dict) -> dict:
         if proto is None:
             continue
         if isinstance(proto, str) and proto not in known:
-            errors.append(_entry("UNKNOWN_PROTOTYPE", f"/operators/{i}/prototype", f"Unknown prototype: {proto}"))
+            errors.append(_entry("UNKNOWN_PROTOTYPE", f"/operators/{i}/prototype", f"no prototype is called {proto!r}"))
             continue
         proto = known[proto] if isinstance(proto, str) else proto
         given, names = op.get("parameters", {}), {p["name"]: p for p in proto.get("parameters", [])}
         for name, v in given.items():
             if name not in names:
-                errors.append(_entry("UNKNOWN_PARAMETER", f"/operators/{i}/parameters/{name}", f"Unknown parameter '{name}' in prototype instance '{op.get('id')}'"))
+                errors.append(_entry("UNKNOWN_PARAMETER", f"/operators/{i}/parameters/{name}", f"{op.get('id')} gives {name!r}, which its prototype doesn't take"))
             elif not P.fits(names[name]["type"], v):
-                errors.append(_entry("INVALID_PARAMETER_TYPE", f"/operators/{i}/parameters/{name}", f"Parameter '{name}' must be a {names[name]['type']}"))
+                errors.append(_entry("INVALID_PARAMETER_TYPE", f"/operators/{i}/parameters/{name}", f"{op.get('id')} gives {name!r} as something else than a {names[name]['type']}"))
         for name, p in names.items():
             if name not in given and p.get("default") is None:
-                errors.append(_entry("MISSING_PARAMETER", f"/operators/{i}/parameters", f"Missing required parameter '{name}' in prototype instance '{op.get('id')}'"))
+                errors.append(_entry("MISSING_PARAMETER", f"/operators/{i}/parameters", f"{op.get('id')} doesn't give {name!r}, which has no default"))
     if errors:
         return done()
     try:
@@ -93,20 +93,20 @@ def diagnose(text: str | dict) -> dict:
     if not entry:
         errors.append(_entry("MISSING_REQUIRED_FIELD", "/entryOperator", "entryOperator is missing"))
     elif not any(op.get("id") == entry for op in full["operators"]):
-        errors.append(_entry("INVALID_ENTRY_OPERATOR", "/entryOperator", f"Entry operator not found: {entry}"))
+        errors.append(_entry("INVALID_ENTRY_OPERATOR", "/entryOperator", f"the entry {entry!r} is not among the operators"))
     if not full.get("output"):
         errors.append(_entry("MISSING_OUTPUT_FIELD", "/output", "output is missing"))
     for name, own in (full.get("output") or {}).items():
         if not any(op.get("id") == name for op in full["operators"]):
-            errors.append(_entry("INVALID_OUTPUT_MAPPING", f"/output/{name}", f"Output operator not found: {name}"))
+            errors.append(_entry("INVALID_OUTPUT_MAPPING", f"/output/{name}", f"an output names {name!r}, which is not there"))
             continue
         for p in own:
             try:
                 index = P.port_number(p)[1]
                 if name in seen and index >= len(P.ports(seen[name]).out):
-                    errors.append(_entry("INVALID_OUTPUT_MAPPING", f"/output/{name}", f"Invalid output port {p} of {name}"))
+                    errors.append(_entry("INVALID_OUTPUT_MAPPING", f"/output/{name}", f"{name} has no output {p} to give"))
             except P.ProgramError:
-                errors.append(_entry("INVALID_OUTPUT_MAPPING", f"/output/{name}", f"Invalid port name format: {p}"))
+                errors.append(_entry("INVALID_OUTPUT_MAPPING", f"/output/{name}", f"{p!r} names no port: i1, c1, o1 and so on do"))
     return done()
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from sigloom.operators import folds, scalar, segments, sync, timegrid, windows
 from sigloom.plans import bytecode
 from sigloom.plans.interpreter import MAPS, SYNC, TESTS, VALUED, Machine
-from sigloom.plans.signal import Signal
+from sigloom.plans.signal import Signal, accepted
 
 NUM, BOOL, VEC, BVEC = "number", "boolean", "vector_number", "vector_boolean"
 PORT_TYPES = (NUM, BOOL, VEC, BVEC)
@@ -92,10 +92,10 @@ def ports(spec: dict) -> Ports:
 def check_operator(spec: dict) -> None:
     """ProgramError for a type, field or value that is wrong."""
     if not spec.get("id") or not spec.get("type"):
-        raise ProgramError("Operator must have id and type", "MISSING_REQUIRED_FIELD")
+        raise ProgramError("an operator lacks its id or its type", "MISSING_REQUIRED_FIELD")
     kind = spec["type"]
     if kind not in REQUIRED:
-        raise ProgramError(f"Unknown operator type: {kind}", "UNKNOWN_OPERATOR_TYPE", "/type")
+        raise ProgramError(f"no operator is of type {kind!r}", "UNKNOWN_OPERATOR_TYPE", "/type")
     for name in REQUIRED[kind]:
         if name not in spec:
             raise ProgramError(f"{kind} {spec['id']} lacks {name}", "MISSING_REQUIRED_FIELD", f"/{name}")
@@ -104,38 +104,38 @@ def check_operator(spec: dict) -> None:
     for name in ("portTypes", "input_port_types", "output_port_types"):
         for t in spec.get(name, []):
             if t not in PORT_TYPES:
-                raise ProgramError(f"Invalid port type: {t}", "INVALID_PORT_TYPE", f"/{name}")
+                raise ProgramError(f"{t!r} is no port type", "INVALID_PORT_TYPE", f"/{name}")
     for name in ("portType", "input_port_type", "output_port_type"):
         if name in spec and spec[name] not in PORT_TYPES:
-            raise ProgramError(f"Invalid port type: {spec[name]}", "INVALID_PORT_TYPE", f"/{name}")
+            raise ProgramError(f"{spec[name]!r} is no port type", "INVALID_PORT_TYPE", f"/{name}")
 
     def ask(good: bool, message: str, name: str) -> None:
         if not good:
             raise ProgramError(message, "INVALID_PARAMETER_VALUE", f"/{name}")
 
     if kind == "PeakDetector":
-        ask(spec["window_size"] >= 3, "PeakDetector window size must be at least 3", "window_size")
-        ask(spec["window_size"] % 2 == 1, "PeakDetector window size must be odd", "window_size")
+        ask(spec["window_size"] >= 3, "a peak needs a window of 3 or more", "window_size")
+        ask(spec["window_size"] % 2 == 1, "the window of a peak has a middle, so its size is odd", "window_size")
     elif "window_size" in spec:
-        ask(spec["window_size"] >= 1, "window size must be at least 1", "window_size")
+        ask(spec["window_size"] >= 1, "a window holds 1 message or more", "window_size")
     if kind == "FiniteImpulseResponse":
-        ask(bool(spec["coeff"]), "FIR coefficients cannot be empty", "coeff")
+        ask(bool(spec["coeff"]), "a filter without coefficients", "coeff")
     if kind == "InfiniteImpulseResponse":
-        ask(bool(spec.get("b_coeffs", spec.get("b"))), "b_coeffs cannot be empty", "b_coeffs")
+        ask(bool(spec.get("b_coeffs", spec.get("b"))), "a feedback filter without b coefficients", "b_coeffs")
     if kind in ("ResamplerConstant", "ResamplerHermite"):
-        ask(spec["interval"] > 0, "Resampling interval must be positive", "interval")
+        ask(spec["interval"] > 0, "the distance of grid points has to be above 0", "interval")
     if kind == "Function":
-        ask(len(spec["points"]) >= 2, "At least 2 points are required for interpolation", "points")
+        ask(len(spec["points"]) >= 2, "a curve takes two points or more", "points")
     if kind == "Linear":
-        ask(len(spec["coefficients"]) >= 2, "Linear requires at least 2 coefficients", "coefficients")
+        ask(len(spec["coefficients"]) >= 2, "a weighted sum takes two ports or more", "coefficients")
     if kind == "Join":
-        ask(len(spec["portTypes"]) >= 2, "Join requires at least 2 ports", "portTypes")
+        ask(len(spec["portTypes"]) >= 2, "a join takes two ports or more", "portTypes")
     if kind in ("Input", "Output"):
-        ask(bool(spec["portTypes"]), f"{kind} must have at least one port", "portTypes")
+        ask(bool(spec["portTypes"]), f"{kind} has no port", "portTypes")
     if kind == "TopK":
-        ask(spec["k"] >= 1, "TopK k must be at least 1", "k")
+        ask(spec["k"] >= 1, "the best k are 1 or more", "k")
     if kind in ("SyncEqual", "SyncNotEqual"):
-        ask(spec.get("epsilon", 1e-10) > 0, "epsilon must be positive", "epsilon")
+        ask(spec.get("epsilon", 1e-10) > 0, "epsilon has to be above 0", "epsilon")
     try:
         if kind in ("FusedExpression", "FusedExpressionVector"):
             bytecode.validate(spec["bytecode"], spec["numOutputs"], len(spec.get("constants", [])), len(spec.get("coefficients", [])), int(spec["numPorts"]) if kind == "FusedExpression" and "numPorts" in spec else None)
@@ -150,6 +150,9 @@ def check_operator(spec: dict) -> None:
         for s in body.specs:
             check_operator(s)
         body.check()
+        first, outer = ports(body.by_id()[body.entry]).data, ports(spec).data
+        if len(first) < len(outer):
+            raise ProgramError(f"{spec['id']} has {len(outer)} data ports, its entry {body.entry} {len(first)}", "ENTRY_PORT_MISMATCH", "/entryOperator")
 
 
 # --- graphs ----------------------------------------------------------------------------------
@@ -159,7 +162,7 @@ def port_number(name: str) -> tuple[bool, int]:
     """(is control, index) of a port name such as i1, c2 or o1."""
     m = re.fullmatch(r"([ico])([1-9]\d*)", str(name))
     if not m:
-        raise ProgramError(f"Invalid port name format: {name}", "PORT_INDEX_OUT_OF_BOUNDS")
+        raise ProgramError(f"{name!r} names no port: i1, c1, o1 and so on do", "PORT_INDEX_OUT_OF_BOUNDS")
     return m[1] == "c", int(m[2]) - 1
 
 
@@ -182,22 +185,22 @@ class Graph:
             path = f"/connections/{i}"
             for name in (a, b):
                 if name not in own:
-                    raise ProgramError(f"invalid operator reference: {name}", "INVALID_OPERATOR_REF", path)
+                    raise ProgramError(f"a connection names {name!r}, which is not there", "INVALID_OPERATOR_REF", path)
             source, target = ports(own[a]).out, ports(own[b])
             into = target.control if control else target.data
             if o >= len(source):
-                raise ProgramError(f"Invalid output port index {o + 1} of {a}", "PORT_INDEX_OUT_OF_BOUNDS", f"{path}/fromPort")
+                raise ProgramError(f"{a} has no output {o + 1}", "PORT_INDEX_OUT_OF_BOUNDS", f"{path}/fromPort")
             if p >= len(into):
-                raise ProgramError(f"Invalid child {'control' if control else 'data'} port {p + 1} of {b}", "PORT_INDEX_OUT_OF_BOUNDS", f"{path}/toPort")
+                raise ProgramError(f"{b} has no {'control' if control else 'data'} port {p + 1}", "PORT_INDEX_OUT_OF_BOUNDS", f"{path}/toPort")
             if source[o] != into[p]:
                 raise ProgramError(f"type mismatch: {a} gives {source[o]}, {b} takes {into[p]}", "PORT_TYPE_MISMATCH", path)
         if self.entry not in own:
-            raise ProgramError(f"Entry operator not found: {self.entry}", "INVALID_ENTRY_OPERATOR", "/entryOperator")
+            raise ProgramError(f"the entry {self.entry!r} is not among the operators", "INVALID_ENTRY_OPERATOR", "/entryOperator")
         for name, o in self.outputs:
             if name not in own:
-                raise ProgramError(f"Output operator not found: {name}", "INVALID_OUTPUT_MAPPING", "/output")
+                raise ProgramError(f"an output names {name!r}, which is not there", "INVALID_OUTPUT_MAPPING", "/output")
             if o >= len(ports(own[name]).out):
-                raise ProgramError(f"Invalid output port {o + 1} of {name}", "INVALID_OUTPUT_MAPPING", "/output")
+                raise ProgramError(f"{name} has no output {o + 1} to give", "INVALID_OUTPUT_MAPPING", "/output")
 
     def cyclic(self) -> bool:
         """Whether any operator feeds, in the end, itself."""
@@ -224,7 +227,7 @@ class Graph:
 
 def edge_of(c: dict) -> tuple[str, int, str, int, bool]:
     if "from" not in c or "to" not in c:
-        raise ProgramError("Connection must specify from and to", "MISSING_REQUIRED_FIELD")
+        raise ProgramError("a connection lacks one of its ends", "MISSING_REQUIRED_FIELD")
     control, port = port_number(c.get("toPort", "i1"))
     return str(c["from"]), port_number(c.get("fromPort", "o1"))[1], str(c["to"]), port, control or c.get("kind") == "control"
 
@@ -246,7 +249,7 @@ def body_of(spec: dict) -> Graph:
         for inner, outer in mapping.items():
             outputs[port_number(outer)[1]] = (name, port_number(inner)[1])
     if sorted(outputs) != list(range(len(outputs))):
-        raise ProgramError("Invalid pipeline output port", "INVALID_OUTPUT_MAPPING", "/outputMappings")
+        raise ProgramError("the outputs of a Pipeline are not numbered from 1 on", "INVALID_OUTPUT_MAPPING", "/outputMappings")
     return Graph(spec["operators"], edges, spec["entryOperator"], [outputs[i] for i in range(len(outputs))])
 
 
@@ -271,7 +274,7 @@ def substitute(x, values: dict):
 
     def value(name: str):
         if name not in values:
-            raise ProgramError(f"Unknown parameter reference: {name}", "UNKNOWN_PARAM_REFERENCE")
+            raise ProgramError(f"nothing is called {name!r} here", "UNKNOWN_PARAM_REFERENCE")
         return values[name]
 
     whole = _REFERENCE.fullmatch(x)
@@ -283,13 +286,13 @@ def arguments(proto: dict, given: dict, instance: str) -> dict:
     known = {p["name"]: p for p in proto.get("parameters", [])}
     for name, v in given.items():
         if name not in known:
-            raise ProgramError(f"Unknown parameter '{name}' in prototype instance '{instance}'", "UNKNOWN_PARAMETER", f"/parameters/{name}")
+            raise ProgramError(f"{instance} gives {name!r}, which its prototype doesn't take", "UNKNOWN_PARAMETER", f"/parameters/{name}")
         if not fits(known[name]["type"], v):
-            raise ProgramError(f"Parameter '{name}' must be a {known[name]['type']}", "INVALID_PARAMETER_TYPE", f"/parameters/{name}")
+            raise ProgramError(f"{instance} gives {name!r} as something else than a {known[name]['type']}", "INVALID_PARAMETER_TYPE", f"/parameters/{name}")
     out = {n: p["default"] for n, p in known.items() if p.get("default") is not None} | given
     for name in known:
         if name not in out:
-            raise ProgramError(f"Missing required parameter '{name}' in prototype instance '{instance}'", "MISSING_PARAMETER", "/parameters")
+            raise ProgramError(f"{instance} doesn't give {name!r}, which has no default", "MISSING_PARAMETER", "/parameters")
     return out
 
 
@@ -305,7 +308,7 @@ def expand(program: dict) -> dict:
             op = dict(op, id=prefix + str(op.get("id", "")))
             if isinstance(proto, str):
                 if proto not in known:
-                    raise ProgramError(f"Unknown prototype: {proto}", "UNKNOWN_PROTOTYPE", "/prototype")
+                    raise ProgramError(f"no prototype is called {proto!r}", "UNKNOWN_PROTOTYPE", "/prototype")
                 proto = known[proto]
             if proto is not None:
                 inner = substitute({k: v for k, v in proto.items() if k != "parameters"}, arguments(proto, op.get("parameters", {}), op["id"]))
@@ -320,7 +323,7 @@ def expand(program: dict) -> dict:
             return None
         if isinstance(proto, str):
             if proto not in known:
-                raise ProgramError(f"Unknown prototype: {proto}", "UNKNOWN_PROTOTYPE", "/prototype")
+                raise ProgramError(f"no prototype is called {proto!r}", "UNKNOWN_PROTOTYPE", "/prototype")
             proto = known[proto]
         name = prefix + str(op["id"])
         values = arguments(proto, op.get("parameters", {}), name)
@@ -371,7 +374,7 @@ def load(program: str | dict) -> Graph:
         try:
             program = json.loads(program)
         except json.JSONDecodeError as wrong:
-            raise ProgramError(f"Invalid JSON: {wrong}", "INVALID_JSON") from wrong
+            raise ProgramError(f"this is no JSON: {wrong}", "INVALID_JSON") from wrong
     if not isinstance(program, dict) or not isinstance(program.get("operators"), list):
         raise ProgramError("operators are missing", "SCHEMA_VALIDATION", "/operators")
     program = expand(program)
@@ -400,8 +403,11 @@ def load(program: str | dict) -> Graph:
 def build(spec: dict, data: list[Signal], control: list[Signal]) -> list[Signal]:
     """The output signals of one operator."""
     kind, get, s = spec["type"], spec.get, data[0] if data else None
-    if kind in ("Input", "Output"):
+    if kind == "Output":
         return data
+    if kind == "Input":
+        taken = iter(accepted([x for x in data if x is not None]))
+        return [x if x is None else next(taken) for x in data]
     if kind in scalar.UNARY:
         return [scalar.unary(kind, s)]
     if kind in scalar.WITH_VALUE:
@@ -468,9 +474,7 @@ def build(spec: dict, data: list[Signal], control: list[Signal]) -> list[Signal]
         return [segments.burst_aggregate(s, get("aggBytecode"), get("aggConstants", ()), get("segBytecode"), get("segConstants", ()), get("keyColumns", ()), get("numAggOutputs", 1))]
     body = body_of(spec)
     if body.cyclic() or kind == "TriggerSet":
-        if kind == "Pipeline":
-            raise ProgramError("a Pipeline with a cycle inside runs in a cyclic program only")
-        return folds.fold(data, lambda: Machine([spec], [], spec["id"], [(spec["id"], 0)]), list(ports(spec).out))
+        return folds.fold([*data, *control], lambda: Machine([spec], [], spec["id"], [(spec["id"], o) for o in range(len(ports(spec).out))]), list(ports(spec).out))
     if kind == "Pipeline":
         return segments.pipeline(data, control[0] if control else None, lambda own: compile_graph(body, own), get("segmentBytecode"), get("segmentConstants", ()))
     return [segments.keyed_pipeline(s, lambda own: compile_graph(body, [own])[0], get("key_index"), get("keyColumnIndices"))]
@@ -481,9 +485,9 @@ def compile_graph(graph: Graph, inputs: list[Signal], every: dict | None = None)
 
     ``every``, if given, receives all signals by (operator, output).
     """
-    if graph.cyclic():
-        return folds.fold(inputs, graph.machine, graph.kinds())
     own = graph.by_id()
+    if graph.cyclic():
+        return folds.fold(accepted(inputs) if own[graph.entry]["type"] == "Input" else inputs, graph.machine, graph.kinds())
     made: dict[tuple[str, int], Signal | None] = {}
     feeds: dict[str, list] = {}
     for a, o, b, p, control in graph.edges:

@@ -79,7 +79,7 @@ class Engine:
     def create_program(self, id: str, text: str | dict) -> str:
         """Empty if the program was made, else what is wrong."""
         if id in self._programs:
-            return f"Program {id} already exists"
+            return f"{id} is already taken by a program"
         try:
             graph = load(text)
         except ProgramError as wrong:
@@ -99,7 +99,7 @@ class Engine:
 
     def add_to_message_buffer(self, id: str, port: str, t: int, value) -> str:
         if id not in self._programs:
-            return f"Program {id} doesn't exist"
+            return f"no program is called {id}"
         self._programs[id]["buffer"].append((port, int(t), value))
         return ""
 
@@ -143,7 +143,7 @@ class Engine:
 
         for port, t, v in buffer:
             if port not in at:
-                raise ProgramError(f"Invalid port name: {port}", "PORT_INDEX_OUT_OF_BOUNDS")
+                raise ProgramError(f"{port!r} is no port of the entry", "PORT_INDEX_OUT_OF_BOUNDS")
             got = machine.push([(at[port], t, v)])
             if debug:
                 for n, o, u, w in machine.seen:
@@ -170,7 +170,7 @@ class Run:
     def __init__(self, program: Program, df: DataFrame, port_mappings: dict[str, str] | None = None, debug: bool = False):
         program.validate()
         if "time" not in df.columns:
-            raise ValueError("DataFrame must contain a 'time' column")
+            raise ValueError("the table has no column called time")
         self.program, self.df, self.debug = program, df, debug
         self.mappings = port_mappings or {c: c for c in df.columns if c != "time"}
 

@@ -22,8 +22,9 @@ _NAMES = itertools.count()
 class Base:
     """Rows of messages that signals add columns to."""
 
-    def __init__(self, df: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("t",)):
-        self.df, self.keys, self.order = df, tuple(keys), tuple(order)
+    def __init__(self, df: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("t",), arrival: str | None = None, strict: bool = False):
+        """``arrival``: the column that tells in which order rows came; ``strict``: t is known to increase from row to row."""
+        self.df, self.keys, self.order, self.arrival, self.strict = df, tuple(keys), tuple(order), arrival, strict
         self._count: str | None = None
 
     def add(self, value: Column) -> str:
@@ -55,15 +56,21 @@ class Signal:
     valid: str | None = None
 
     @staticmethod
-    def of(df: DataFrame, t: Column | str = "t", v: Column | str = "v", keys: tuple[str, ...] = (), seq: Column | str | None = None) -> Signal:
-        """A signal of the rows of ``df``, which has to be increasing in ``t`` for each key (see ``monotone``)."""
+    def of(df: DataFrame, t: Column | str = "t", v: Column | str = "v", keys: tuple[str, ...] = (), seq: Column | str | None = None, arrival: Column | str | None = None) -> Signal:
+        """A signal of the rows of ``df``.
+
+        Operators by themselves expect ``t`` to increase from row to row of each key; the input of a
+        program sees to that (``accepted``) and needs ``arrival`` to know which rows came late.
+        """
         as_col = lambda c: F.col(c) if isinstance(c, str) else c
         cols = [*[F.col(k) for k in keys], as_col(t).cast("long").alias("t")]
         order = ("t",)
         if seq is not None:
             cols.append(as_col(seq).alias("seq"))
             order = ("t", "seq")
-        return Signal(Base(df.select(*cols, as_col(v).alias("v")), keys, order), "v")
+        if arrival is not None:
+            cols.append(as_col(arrival).alias("_arrival"))
+        return Signal(Base(df.select(*cols, as_col(v).alias("v")), keys, order, None if arrival is None else "_arrival"), "v")
 
     @property
     def v(self) -> Column:
@@ -83,7 +90,10 @@ class Signal:
 
     def solid(self) -> Signal:
         """The same signal on a base of which every row is one of its messages."""
-        return self if self.valid is None else Signal(Base(self.df(), self.base.keys, self.base.order), "v")
+        if self.valid is None:
+            return self
+        base = self.base
+        return Signal(Base(self.df(extra=() if base.arrival is None else (base.arrival,)), base.keys, base.order, base.arrival, base.strict), "v")
 
     def full(self, n: int, value: Column) -> Signal:
         """A windowed value, from the n-th message on. The signal has to be solid."""
@@ -117,10 +127,39 @@ def synced(signals: list[Signal]) -> list[Signal]:
             cols.append(s.v.alias(names[i]))
         part = rows.select(*keys, "t", *cols)
         whole = part if whole is None else whole.join(part, [*keys, "t"], "inner")
-    base = Base(whole, keys)
+    base = Base(whole, keys, strict=all(s.base.strict for s in signals))
     return [Signal(base, names[i]) for i in range(len(signals))]
 
 
+def accepted(signals: list[Signal]) -> list[Signal]:
+    """What the ports of an input take: of each signal the messages later than all that arrived before them.
+
+    Without an arrival order messages come in the order of time, and of several with one time the
+    one with the smallest value counts. Signals that share a base and its messages still do so after.
+    """
+    done: dict[tuple, Base] = {}
+    out = []
+    for s in signals:
+        if s.base.strict:
+            out.append(s)
+            continue
+        at = id(s.base), s.valid
+        if at not in done:
+            base = s.base
+            if base.arrival is not None or base.order == ("t",):
+                rows = base.df if s.valid is None else base.df.where(s.valid)
+                if base.arrival is not None:
+                    rows = monotone(rows, "t", base.arrival, base.keys)
+                else:
+                    ahead = F.lag("t").over(Window.partitionBy(*base.keys).orderBy("t", s.v))
+                    rows = rows.withColumn("_ahead", ahead).where("_ahead is null or t > _ahead").drop("_ahead")
+            else:  # several messages of one time have their order
+                rows = (base.df if s.valid is None else base.df.where(s.valid)).withColumn("_ahead", F.lag("t").over(base.window)).where("_ahead is null or t > _ahead").drop("_ahead")
+            done[at] = Base(rows, base.keys, ("t",), strict=True)
+        out.append(Signal(done[at], s.name))
+    return out
+
+
 def monotone(df: DataFrame, t: str, seq: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The rows that an input port accepts: those later than all that arrived (by ``seq``) before them."""
     w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,6 +12,7 @@ from sigloom.operators import folds, scalar, segments, sync, timegrid, windows
 from sigloom.plans import bytecode
 from sigloom.plans.bytecode import CODES
 from sigloom.plans.program import compile_program, result_table
+from sigloom.plans.session import Program, Run
 from sigloom.plans.signal import Signal, monotone, synced
 
 KEYS = ("user_id",)
@@ -386,6 +387,148 @@ b AS (SELECT user_id, t, v, max(v) OVER (PARTITION BY user_id ORDER BY t ROWS BE
 SELECT user_id, t, {near('v')} AS v FROM b WHERE v > l AND v > r AND k > 3 AND k <= n - 3""")
 
 
+# --- operators by JSON, against the same SQL as above
+
+
+def graph(operator: dict, port_types: list[str], wires: list[tuple[str, str]], outputs: list[str]) -> dict:
+    """A program of an input and one operator; ``wires`` are (output of the input, port of the operator)."""
+    return {
+        "entryOperator": "in",
+        "operators": [{"id": "in", "type": "Input", "portTypes": port_types}, {"id": "op", **operator}],
+        "connections": [{"from": "in", "fromPort": o, "to": "op", "toPort": p} for o, p in wires],
+        "output": {"op": outputs},
+    }
+
+
+def by_json(name: str, operator: dict, of: Callable[[SparkSession, str], list[Signal]], port_types: list[str], wires: list[tuple[str, str]], sql: str, *names: str, finish: Callable[[Signal], Signal] = lambda s: s) -> None:
+    """A query of a program with one operator."""
+    def make(sp: SparkSession, d: str) -> Signal:
+        (out,) = compile_program(json.dumps(graph(operator, port_types, wires, ["o1"])), of(sp, d)).values()
+        return finish(out)
+
+    add(name, make, sql, *names)
+
+
+_THREE = ["number"] * 3
+_DATA = [("o1", "i1"), ("o2", "i2"), ("o3", "i3")]
+by_json("program_linear", {"type": "Linear", "coefficients": [0.5, -1.0, 2.0]}, abc, _THREE, _DATA, _SQL["linear"])
+by_json("program_division", {"type": "Division", "numPorts": 3}, abc, _THREE, _DATA, _SQL["division"], finish=sevenths)
+by_json("program_sync_greater_than", {"type": "SyncGreaterThan", "numPorts": 3}, abc, _THREE, _DATA, _SQL["sync_greater_than"])
+by_json("program_vector_compose", {"type": "VectorCompose", "numPorts": 3}, abc, _THREE, _DATA, _SQL["vector_compose"], "a", "b", "c")
+by_json("program_compare_sync", {"type": "CompareSyncEQ", "tolerance": 10.0}, lambda sp, d: abc(sp, d)[:2], _THREE[:2], _DATA[:2], _SQL["compare_sync_eq"])
+by_json("program_variable", {"type": "Variable", "default_value": -1.0}, lambda sp, d: abc(sp, d)[:2], _THREE[:2], [("o1", "i1"), ("o2", "c1")], _SQL["variable_asof"])
+
+
+def flags(sp: SparkSession, d: str) -> list[Signal]:
+    return [scalar.compare("GT", s, 20.0) for s in abc(sp, d)]
+
+
+for _f in ("And", "Or", "Xor", "Nand", "Nor", "Xnor", "Implication"):
+    by_json(f"program_logical_{_f.lower()}", {"type": f"Logical{_f}", "numPorts": 3}, flags, ["boolean"] * 3, _DATA, _SQL[f"logical_{_f.lower()}"])
+
+
+def routes(sp: SparkSession, d: str) -> list[Signal]:
+    a, b, c = abc(sp, d)
+    return [a, b, scalar.compare("GT", b, 30.0), scalar.compare("LT", c, 0.0)]
+
+
+_ROUTED = ["number", "number", "boolean", "boolean"]
+
+
+def _program_demux(sp: SparkSession, d: str) -> DataFrame:
+    program = graph({"type": "Demultiplexer", "numPorts": 2}, _ROUTED, [("o1", "i1"), ("o3", "c1"), ("o4", "c2")], ["o1", "o2"])
+    outs = compile_program(program, routes(sp, d)).values()
+    first, second = [rounded(o).withColumn("port", F.lit(i + 1)) for i, o in enumerate(outs)]
+    return first.unionByName(second)
+
+
+add("program_demultiplexer", _program_demux, _SQL["demultiplexer"])
+by_json("program_multiplexer", {"type": "Multiplexer", "numPorts": 2}, routes, _ROUTED, [("o1", "i1"), ("o2", "i2"), ("o3", "c1"), ("o4", "c2")], _SQL["multiplexer"])
+
+
+def lookups(sp: SparkSession, d: str) -> list[Signal]:
+    """A changelog, queries and a heartbeat that goes on after the changelog's end."""
+    e = events(sp, d)
+    key = (F.col("user_id") % 40).cast("double")
+    value = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    changes = e.where(F.col("event_type").isin("click", "view") & (F.col("event_id") % 4 != 3) & (F.col("event_id") < 500))
+    asked = e.where(F.col("event_type").isin("view", "purchase"))
+    beats = e.where((F.col("event_type") == "error") & (F.col("event_id") < 900))
+    return [Signal.of(changes, "event_id", F.array(key, value)), Signal.of(asked, "event_id", (F.col("user_id") * 3 % 40).cast("double")), Signal.of(beats, "event_id", "value")]
+
+
+by_json("program_keyed_variable_heartbeat", {"type": "KeyedVariable", "mode": "lookup", "default_value": -1.0}, lookups, ["vector_number", "number", "number"], [("o1", "i1"), ("o2", "c1"), ("o3", "c2")],
+    f"""WITH u AS (SELECT event_id AS t, user_id % 40 AS k, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS x FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 <> 3 AND event_id < 500),
+q AS (SELECT event_id AS t, user_id * 3 % 40 AS k FROM events WHERE event_type IN ('view', 'purchase')), m AS (SELECT max(t) AS m FROM (SELECT t FROM u UNION ALL SELECT event_id FROM events WHERE event_type = 'error' AND event_id < 900))
+SELECT q.t, {near('coalesce(u.x, -1)')} AS v FROM q ASOF LEFT JOIN u ON q.k = u.k AND q.t >= u.t WHERE q.t <= (SELECT m FROM m)""")
+by_json("program_fused_ports", {"type": "FusedExpression", "numPorts": 3, "numOutputs": 1, "bytecode": code("INPUT", 0, "INPUT", 1, "SUB", "ABS", "INPUT", 2, "GT", "END")}, abc, _THREE, _DATA, _SQL["fused_expression_ports"], "v")
+by_json("program_burst", {"type": "BurstAggregate", "aggBytecode": code("INPUT", 0, "CUMSUM", 0, "END", "COUNT", 2, "END"), "segBytecode": _PARITY, "segConstants": [2.0], "keyColumns": [2], "numAggOutputs": 2}, lambda sp, d: [vectors(sp, d)],
+    ["vector_number"], [("o1", "i1")], _SQL["burst_aggregate"], "k", "total", "n")
+_SUM_OF_FIRST = {"operators": [{"id": "x", "type": "VectorExtract", "index": 0}, {"id": "s", "type": "CumulativeSum"}], "connections": [{"from": "x", "to": "s"}]}
+by_json("program_keyed", {"type": "KeyedPipeline", "key_index": 1, "prototype": {**_SUM_OF_FIRST, "entry": {"operator": "x"}, "output": {"operator": "s"}}}, lambda sp, d: [vectors(sp, d)], ["vector_number"], [("o1", "i1")], _SQL["keyed_sum"], "k", "v")
+by_json("program_pipeline", {"type": "Pipeline", "input_port_types": ["vector_number"], "output_port_types": ["number"], "segmentBytecode": _PARITY, "segmentConstants": [2.0], "entryOperator": "x", "outputMappings": {"s": {"o1": "o1"}}, **_SUM_OF_FIRST},
+    lambda sp, d: [vectors(sp, d)], ["vector_number"], [("o1", "i1")], _SQL["pipeline_bytecode"])
+
+
+def _late_rows(sp: SparkSession, d: str) -> Signal:
+    """Rows in another order than that of time, one in seven twice: the input drops what is late or repeated, then messages are counted."""
+    e = events(sp, d).select("user_id", "event_id", micros("ts").alias("t"), F.col("value").alias("v"))
+    rows = e.withColumn("n", F.lit(0)).unionByName(e.where("event_id % 7 = 0").withColumn("n", F.lit(1)))
+    arrival = (F.col("event_id") * 7919 % 10007 * 1_000_000 + F.col("event_id")) * 2 + F.col("n")
+    s = Signal.of(rows, "t", "v", KEYS, arrival=arrival)
+    (out,) = compile_program(graph({"type": "CountNumber"}, ["number"], [("o1", "i1")], ["o1"]), [s]).values()
+    return out
+
+
+add("program_late_rows", _late_rows, f"""WITH {E_SQL}, r AS (SELECT *, 0 AS n FROM e UNION ALL SELECT *, 1 FROM e WHERE event_id % 7 = 0), s AS (SELECT *, (event_id * 7919 % 10007 * 1000000 + event_id) * 2 + n AS seq FROM r),
+m AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s)
+SELECT user_id, t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t) AS DOUBLE) AS v FROM m WHERE p IS NULL OR t > p""")
+
+
+def _cycle_in_segments(sp: SparkSession, d: str) -> Signal:
+    """The feedback cycle inside a Pipeline: it starts anew with every ten messages."""
+    from pyspark.sql import Window
+
+    e = events(sp, d).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")))
+    body = {"operators": FEEDBACK["operators"], "connections": FEEDBACK["connections"], "entryOperator": "in", "outputMappings": {"sum": {"o1": "o1"}}}
+    program = graph({"type": "Pipeline", "input_port_types": ["number"], "output_port_types": ["number"], **body}, ["number", "number"], [("o1", "i1"), ("o2", "c1")], ["o1"])
+    s = Signal.of(e, "n", "value", KEYS)
+    (out,) = compile_program(program, [s, s.map(F.floor((F.col("t") - 1) / 10).cast("double"))]).values()
+    return sevenths(out)
+
+
+add("pipeline_cycle", _cycle_in_segments, f"""WITH RECURSIVE {_STEP}, k AS (SELECT user_id, rn, x0, (rn - 1) // 10 AS seg, (rn - 1) % 10 AS i FROM n),
+y AS (SELECT user_id, seg, i, x0 AS y FROM k WHERE i = 0 UNION ALL SELECT k.user_id, k.seg, k.i, k.x0 + 0.5 * y.y FROM y JOIN k ON k.user_id = y.user_id AND k.seg = y.seg AND k.i = y.i + 1)
+SELECT y.user_id, n.rn AS t, {near('y / 7')} AS v FROM y JOIN n ON n.user_id = y.user_id AND n.rn = (y.seg + 1) * 10 + 1 WHERE y.i = 9""")
+
+# --- the rest of the fused codes
+_HUNDREDTH = ("INPUT", 0, "CONST", 0, "MUL")
+_LESS_50 = ("INPUT", 0, "CONST", 1, "SUB")
+_PLUS_1 = ("INPUT", 0, "CONST", 2, "ADD")
+add("fused_functions", lambda sp, d: bytecode.fused(vectors(sp, d), code("INPUT", 0, "CONST", 3, "POW", "END", *_PLUS_1, "LOG", "END", *_PLUS_1, "LOG10", "END", *_HUNDREDTH, "EXP", "END", *_HUNDREDTH, "SIN", "END", *_HUNDREDTH, "COS", "END", *_HUNDREDTH, "TAN", "END"), 7, [0.01, 50.0, 1.0, 0.5]),
+    f"WITH {V_SQL} SELECT user_id, t, {near('pow(x0, 0.5)')} AS a, {near('ln(x0 + 1)')} AS b, {near('log10(x0 + 1)')} AS c, {near('exp(x0 * 0.01)')} AS d, {near('sin(x0 * 0.01)')} AS e, {near('cos(x0 * 0.01)')} AS f, {near('tan(x0 * 0.01)')} AS g FROM w", *"abcdefg")
+add("fused_rounding", lambda sp, d: bytecode.fused(vectors(sp, d), code(*_LESS_50, "SIGN", "END", *_LESS_50, "FLOOR", "END", *_LESS_50, "CEIL", "END", *_LESS_50, "ROUND", "END", *_LESS_50, "NEG", "END"), 5, [0.01, 50.0]),
+    f"WITH {V_SQL} SELECT user_id, t, CAST(sign(x0 - 50) AS DOUBLE) + 0.0 AS a, floor(x0 - 50) + 0.0 AS b, ceil(x0 - 50) + 0.0 AS c, round(x0 - 50) + 0.0 AS d, {near('50 - x0')} AS e FROM w", *"abcde")
+_TWO = ("INPUT", 1, "CONST", 0)
+add("fused_logic", lambda sp, d: bytecode.fused(vectors(sp, d), code(*_TWO, "GTE", "END", *_TWO, "LT", "END", *_TWO, "LTE", "END", *_TWO, "EQ", "END", *_TWO, "NEQ", "END", "INPUT", 1, "INPUT", 2, "AND", "END", "INPUT", 1, "INPUT", 2, "OR", "END", "INPUT", 1, "NOT", "END"), 8, [2.0]),
+    "WITH " + V_SQL + " SELECT user_id, t, " + ", ".join(f"CASE WHEN {x} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {n}" for n, x in zip("abcdefgh", ("x1 >= 2", "x1 < 2", "x1 <= 2", "x1 = 2", "x1 <> 2", "x1 <> 0 AND x2 <> 0", "x1 <> 0 OR x2 <> 0", "x1 = 0"), strict=True)) + " FROM w", *"abcdefgh")
+by_json("fused_iir", {"type": "FusedExpressionVector", "numOutputs": 1, "bytecode": code("INPUT", 0, "IIR_UPDATE", 2, 1, 0, "END"), "coefficients": [0.4, 0.2, -0.5]}, lambda sp, d: [vectors(sp, d)], ["vector_number"], [("o1", "i1")], _SQL["iir"], "v")
+
+
+def _run_table(sp: SparkSession, d: str) -> DataFrame:
+    """A program over a wide table, one result row for each of its rows."""
+    program = Program().add_operator("in", "Input", portTypes=["number", "number"]).add_operator("m", "MovingSum", window_size=3).add_operator("x", "Subtraction")
+    program = program.connect("in", "m", "o1", "i1").connect("in", "x", "o1", "i1").connect("in", "x", "o2", "i2").add_output("m").add_output("x")
+    wide = events(sp, d).select(F.col("event_id").alias("time"), F.when(F.col("event_type") != "error", F.col("value")).alias("a"), (F.col("user_id") % 10).cast("double").alias("b"))
+    out = Run(program, wide, {"a": "i1", "b": "i2"}).exec({"m:o1": "total", "x:o1": "rest"})
+    return out.select("time", F.round("total", 6).alias("total"), F.round("rest", 6).alias("rest"))
+
+
+add("run_table", _run_table, """WITH a AS (SELECT event_id AS time, value AS a FROM events WHERE event_type <> 'error'),
+m AS (SELECT time, sum(a) OVER (ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS total, row_number() OVER (ORDER BY time) AS rn FROM a)
+SELECT e.event_id AS time, CASE WHEN m.rn >= 3 THEN round(m.total, 6) END AS total, round(a.a - e.user_id % 10, 6) AS rest FROM events e LEFT JOIN m ON m.time = e.event_id LEFT JOIN a ON a.time = e.event_id""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
