@@ -10,6 +10,10 @@ contexts of a key are then sorted by ``grouping.suffix_arrays``, and windows tha
 ``length`` bytes stand next to each other in that order: a run of them with a weight of two or more
 is removed wherever its contexts occur.
 
+Before that, a context of a key is cut down to the windows that may be equal to another's: the key's
+gram stands at one place of the context, so equal windows have equal bytes around it, and what is
+around it in every window of a quarter of all offsets is compared first.
+
 A key with more than ``most_contexts`` different contexts is cut again by a further key of its
 windows under another hash, which parts them without parting equal windows.
 """
@@ -40,26 +44,33 @@ def sliding_min(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts of one text: first window, number of windows, key, a hash of the bytes, and whether the key's gram is there twice."""
+    """The contexts of one text: first window, number of windows, key, a hash of the bytes, and where in it the key's gram is (-1: at several places)."""
     n = len(data)
     p = prefix_hash(data)
     _, down = powers(n)
     gram = min(GRAM, length)
     h = mix64((p[gram:] - p[:-gram]) * down[: n - gram + 1] + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    least = sliding_min(h, length - gram + 1)
+    k = length - gram + 1
+    least = sliding_min(h, k)
     change = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     size = np.diff(np.append(change, len(least)))
     if len(size) and size.max() > LONGEST_RUN:
         pieces = -(-size // LONGEST_RUN)
         change = np.repeat(change, pieces) + LONGEST_RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         size = np.diff(np.append(change, len(least)))
-    wide = size + length - gram  # grams of each context
-    ahead = np.cumsum(wide) - wide
-    spread = np.arange(int(wide.sum())) + np.repeat(change - ahead, wide)
-    twice = np.add.reduceat((h[spread] == np.repeat(least[change], wide)).astype(np.int64), ahead) > 1
+    # places of grams that are the least of any window: no larger than the largest minimum of the windows around
+    edge = np.full(k - 1, _TOP)
+    place = np.flatnonzero(h == ~sliding_min(np.concatenate((edge, ~least, edge)), k))
+    values, rank = np.unique(h[place], return_inverse=True)
+    order = np.argsort(rank, kind="stable")
+    place = place[order]
+    at = rank[order] * (n + 1) + place
+    own = np.searchsorted(values, least[change]) * (n + 1)
+    first = np.searchsorted(at, own + change)
+    once = np.searchsorted(at, own + change + size + (k - 1)) - first == 1
     end = change + size + length - 1
     content = mix64((p[end] - p[change]) * down[change] ^ size.astype(np.uint64))
-    return change, size, least[change], content, twice
+    return change, size, least[change], content, np.where(once, place[np.minimum(first, len(place) - 1)] - change, -1)
 
 
 def _row_keys(text: str, id_col: str) -> list:
@@ -67,31 +78,62 @@ def _row_keys(text: str, id_col: str) -> list:
     return [F.xxhash64(ident, body).alias("r1"), F.xxhash64(F.lit(1), ident, body).alias("r2")]
 
 
-_OCCURRENCE = "r1 long, r2 long, lo int, w int, h long, k long, twice boolean"
+_OCCURRENCE = "r1 long, r2 long, lo int, w int, h long, k long, g int"
 
 
 def occurrences(docs: DataFrame, length: int, text: str, id_col: str) -> DataFrame:
-    """(r1, r2, lo, w, h, k, twice): every context of every row: where it starts, its windows, and what ``runs`` says of it."""
+    """(r1, r2, lo, w, h, k, g): every context of every row: where it starts, its windows, and what ``runs`` says of it."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, 1 << 20):
                 r1, r2, out = part.column(0).to_numpy(), part.column(1).to_numpy(), []
                 for i, raw in enumerate(utf8(part.column(2).to_pylist())):
                     if len(raw) >= length:
-                        lo, w, h, k, twice = runs(np.frombuffer(raw, np.uint8), length, 0)
-                        out.append((np.full(len(lo), i), lo, w, h, k, twice))
+                        lo, w, h, k, g = runs(np.frombuffer(raw, np.uint8), length, 0)
+                        out.append((np.full(len(lo), i), lo, w, h, k, g))
                 if out:
-                    i, lo, w, h, k, twice = (np.concatenate(c) for c in zip(*out, strict=True))
+                    i, lo, w, h, k, g = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(r1[i]), pa.array(r2[i]), pa.array(lo.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(k.view(np.int64)), pa.array(twice)],
-                        names=["r1", "r2", "lo", "w", "h", "k", "twice"],
+                        [pa.array(r1[i]), pa.array(r2[i]), pa.array(lo.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(k.view(np.int64)), pa.array(g.astype(np.int32))],
+                        names=["r1", "r2", "lo", "w", "h", "k", "g"],
                     )
 
     return docs.select(*_row_keys(text, id_col), F.col(text)).mapInArrow(run, _OCCURRENCE)
 
 
+def promising(group: list[tuple[int, bytes, int]], length: int, parts: int = 4) -> list[tuple[int, int, int]]:
+    """Of contexts (weight, bytes, place of the key's gram) of one key those that may hold repeated windows: (number, first, end of these windows).
+
+    A window of a context has the gram at one of length - gram + 1 offsets. All windows of a part of
+    these offsets hold the same bytes around the gram, so windows can only be equal where these are.
+    """
+    gram = min(GRAM, length)
+    whole = [(i, 0, len(c) - length + 1) for i, (_, c, _) in enumerate(group)]
+    span = length - gram
+    if span < parts or any(g < 0 for *_, g in group):
+        return whole
+    step = -(-span // parts)
+    weight: dict[tuple[int, bytes], int] = {}
+    own: list[list] = []
+    for w, c, g in group:
+        own.append([])
+        for j in range(0, span, step):
+            far = min(j + step, span)
+            first, last = max(0, g - far), min(len(c) - length, g - j)
+            if first <= last:
+                key = j, c[g - j : g + gram + span - far]
+                own[-1].append((key, first, last + 1))
+                weight[key] = weight.get(key, 0) + w
+    out = []
+    for i, ranges in enumerate(own):
+        live = [(a, b) for key, a, b in ranges if weight[key] > 1]
+        if live:
+            out.append((i, min(a for a, _ in live), max(b for _, b in live)))
+    return out
+
+
 def repeated_windows(contexts: list[list[tuple[int, bytes]]], length: int) -> list[list[list[tuple[int, int]]]]:
     """For groups of (weight, bytes): in each context the runs [a, b) of window starts that occur twice or more in the group."""
     strings, offsets, at = [], [], 0
@@ -143,7 +185,7 @@ def repeated_windows(contexts: list[list[tuple[int, bytes]]], length: int) -> li
 
 
 def _sorted_groups(contexts: DataFrame, length: int, batch_bytes: int, lane_bytes: int = 3 << 19) -> DataFrame:
-    """(h, k, repeated): for contexts (h, k, weight, context) the repeated runs of those that have any."""
+    """(h, k, repeated): for contexts (h, k, weight, g, context) the repeated runs of those that have any."""
     schema = "h long, k long, repeated array<struct<a:int,b:int>>"
 
     def run(batches):
@@ -157,25 +199,27 @@ def _sorted_groups(contexts: DataFrame, length: int, batch_bytes: int, lane_byte
         def flush():
             nonlocal keys, groups, size
             h, k, rep = [], [], []
+            chosen = [promising(g, length) for g in groups]
+            cut = [[(groups[i][n][0], groups[i][n][1][a : b + length - 1]) for n, a, b in own] for i, own in enumerate(chosen)]
             # strings of like lengths are sorted together, as the longest sets the number of steps
-            order = sorted(range(len(groups)), key=lambda i: sum(len(c) for _, c in groups[i]))
+            order = sorted((i for i, c in enumerate(cut) if c), key=lambda i: sum(len(c) for _, c in cut[i]))
             while order:
                 here, total = [], 0
                 while order and (not here or total < lane_bytes):
                     here.append(order.pop())
-                    total += sum(len(c) for _, c in groups[here[-1]])
-                for i, found in zip(here, repeated_windows([groups[i] for i in here], length), strict=True):
-                    for (a, b), r in zip(keys[i], found, strict=True):
+                    total += sum(len(c) for _, c in cut[here[-1]])
+                for i, found in zip(here, repeated_windows([cut[i] for i in here], length), strict=True):
+                    for (n, off, _), r in zip(chosen[i], found, strict=True):
                         if r:
-                            h.append(a)
-                            k.append(b)
-                            rep.append([{"a": x, "b": y} for x, y in r])
+                            h.append(keys[i][n][0])
+                            k.append(keys[i][n][1])
+                            rep.append([{"a": x + off, "b": y + off} for x, y in r])
             keys, groups, size = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(rep, kind)], names=["h", "k", "repeated"])
 
         seen: set = set()
         for batch in batches:
-            for h, k, w, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for h, k, w, g, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if not keys or keys[-1][0][0] != h:
                     if size >= batch_bytes:
                         yield flush()
@@ -185,63 +229,64 @@ def _sorted_groups(contexts: DataFrame, length: int, batch_bytes: int, lane_byte
                 if k not in seen:  # equal rows of the table give a context twice
                     seen.add(k)
                     keys[-1].append((h, k))
-                    groups[-1].append((w, c))
+                    groups[-1].append((w, c, g))
                     size += len(c) + 1
         if keys:
             yield flush()
 
-    dealt = contexts.select("h", "k", "weight", "context").repartition(shuffle_width(contexts.sparkSession), "h").sortWithinPartitions("h")
+    dealt = contexts.select("h", "k", "weight", "g", "context").repartition(shuffle_width(contexts.sparkSession), "h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, schema)
 
 
 def _cut(docs: DataFrame, contexts: DataFrame, length: int, text: str, id_col: str) -> DataFrame:
-    """(h, k, weight, context): the bytes of contexts (h, k, weight, at) from the row each is at."""
-    lists = contexts.groupBy(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2")).agg(F.collect_list(F.struct("at.lo", "at.w", "h", "k", "weight")).alias("cuts"))
+    """(h, k, weight, g, context): the bytes of contexts (h, k, weight, at) from the row each is at."""
+    lists = contexts.groupBy(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2")).agg(F.collect_list(F.struct("at.lo", "at.w", "at.g", "h", "k", "weight")).alias("cuts"))
     rows = docs.select(*_row_keys(text, id_col), F.col(text).alias("text")).join(lists, ["r1", "r2"]).select("text", "cuts")
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["h", "k", "weight", "context"]
+        names = ["h", "k", "weight", "g", "context"]
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 out = [
-                    (c["h"], c["k"], c["weight"], raw[c["lo"] : c["lo"] + c["w"] + length - 1])
+                    (c["h"], c["k"], c["weight"], c["g"], raw[c["lo"] : c["lo"] + c["w"] + length - 1])
                     for raw, cuts in zip(utf8(part.column(0).to_pylist()), part.column(1).to_pylist(), strict=True)
                     for c in cuts
                 ]
-                h, k, w, c = zip(*out, strict=True) if out else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(w, pa.int64()), pa.array(c, pa.binary())], names=names)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                columns = zip(*out, strict=True) if out else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "h long, k long, weight long, context binary")
+    return rows.mapInArrow(run, "h long, k long, weight long, g int, context binary")
 
 
 def _parted(contexts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(h, k, weight, off, w, h2, k2, twice, context): contexts cut by a further key of their windows."""
+    """(h, k, weight, off, w, h2, k2, g, context): contexts cut by a further key of their windows."""
     def run(batches):
         import pyarrow as pa
 
-        names = ["h", "k", "weight", "off", "w", "h2", "k2", "twice", "context"]
+        names = ["h", "k", "weight", "off", "w", "h2", "k2", "g", "context"]
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 out = []
                 for h, k, weight, c in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                    for lo, w, key, content, twice in zip(*(x.tolist() for x in runs(np.frombuffer(c, np.uint8), length, seed)), strict=True):
+                    for lo, w, key, content, g in zip(*(x.tolist() for x in runs(np.frombuffer(c, np.uint8), length, seed)), strict=True):
                         key = int(mix64(np.array([key ^ (h & (1 << 64) - 1)], np.uint64)).view(np.int64)[0])
-                        out.append((h, k, weight, lo, w, key, content - (1 << 64) if content >> 63 else content, twice, c[lo : lo + w + length - 1]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                        out.append((h, k, weight, lo, w, key, content - (1 << 64) if content >> 63 else content, g, c[lo : lo + w + length - 1]))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 columns = zip(*out, strict=True) if out else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
-    return contexts.select("h", "k", "weight", "context").mapInArrow(run, "h long, k long, weight long, off int, w int, h2 long, k2 long, twice boolean, context binary")
+    return contexts.select("h", "k", "weight", "context").mapInArrow(run, "h long, k long, weight long, off int, w int, h2 long, k2 long, g int, context binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, most_contexts: int = 48, levels: int = 4, batch_bytes: int = 12 << 20, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(r1, r2, spans): by row key the byte ranges [a, b) that repeated windows cover, not yet merged."""
     every = staged(occurrences(docs, length, text, id_col), "occurrences")
-    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("h")
-    occur = staged(every.join(shared, "h", "left_semi").select("r1", "r2", "lo", "w", "h", "k"), "shared")
-    heads = occur.groupBy("h", "k").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("r1", "r2", "lo", "w")).alias("at"))
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g")).where("c > 1 or g < 0").select("h")
+    occur = staged(every.join(shared, "h", "left_semi").select("r1", "r2", "lo", "w", "h", "k", "g"), "shared")
+    heads = occur.groupBy("h", "k").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("r1", "r2", "lo", "w", "g")).alias("at"))
     contexts = staged(_cut(docs, heads, length, text, id_col), "contexts")
     spans = None
     for level in range(1, levels + 1):
@@ -254,11 +299,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, most_contexts: int = 48,
         if last:
             break
         parts = staged(_parted(contexts.join(many, "h", "left_semi"), length, level), f"parts{level}")
-        again = parts.groupBy("h2").agg(F.sum("weight").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("h2")
+        again = parts.groupBy("h2").agg(F.sum("weight").alias("c"), F.min("g").alias("g")).where("c > 1 or g < 0").select("h2")
         parts = parts.join(again, "h2", "left_semi")
         places = parts.select("h", "k", "off", F.col("w").alias("w2"), "h2", "k2").distinct()
         occur = staged(occur.join(places, ["h", "k"]).select("r1", "r2", (F.col("lo") + F.col("off")).alias("lo"), F.col("w2").alias("w"), F.col("h2").alias("h"), F.col("k2").alias("k")), f"shared{level}")
-        contexts = staged(parts.groupBy(F.col("h2").alias("h"), F.col("k2").alias("k")).agg(F.sum("weight").alias("weight"), F.max("context").alias("context")), f"contexts{level}")
+        contexts = staged(parts.groupBy(F.col("h2").alias("h"), F.col("k2").alias("k")).agg(F.sum("weight").alias("weight"), F.max("g").alias("g"), F.max("context").alias("context")), f"contexts{level}")
     return spans.groupBy("r1", "r2").agg(F.collect_list("s").alias("spans"))
 
 
