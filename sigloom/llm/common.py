@@ -67,6 +67,7 @@ _MASK = (1 << 64) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, _MASK, 256, dtype=np.uint64, endpoint=True)
 _POWERS = {"n": 0}
+_KEPT = 5 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -79,17 +80,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for exponents 0 to n."""
-    if _POWERS["n"] < n + 1:
-        size = max(n + 1, 1 << 16)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        both = []
-        for base in (_BASE, inverse):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
+    """Powers of the base and of its inverse modulo 2**64, for exponents 0 to n or more; tables of up to ``_KEPT`` are kept."""
+    if _POWERS["n"] > n:
+        return _POWERS["up"], _POWERS["down"]
+    size = max(n + 1, 1 << 16)
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    both = []
+    for base in (_BASE, inverse):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        both.append(np.multiply.accumulate(p))
+    if size <= _KEPT:
         _POWERS.update(n=size, up=both[0], down=both[1])
-    return _POWERS["up"], _POWERS["down"]
+    return both[0], both[1]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -156,7 +159,7 @@ def utf8(values) -> list[bytes]:
     return [v.encode("utf-8", "surrogatepass") if isinstance(v, str) else b"" for v in values]
 
 
-def with_arrow(df: DataFrame, needs: list[str], fields: list, fn, slice_bytes: int = 4 << 20) -> DataFrame:
+def with_arrow(df: DataFrame, needs: list[str], fields: list, fn, slice_bytes: int = 1 << 20) -> DataFrame:
     """``df`` with columns that ``fn`` computes from the columns ``needs``, batch by batch.
 
     ``fn`` takes one list of Python values per needed column and returns one list per field. It
