@@ -1,20 +1,21 @@
 """Signals without keys in parallel: time is cut into chunks of about equal counts, which are then keys.
 
 A window of the last n messages needs n - 1 messages from before its chunk; these are copied in and
-leave again. Running values add what all chunks before have given. Only chunk boundaries and one
-total a chunk are gathered.
+leave again. Running values go on from what all chunks before have given. All that reaches the
+driver is chunk boundaries, counts and one total a chunk, as many as there are chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from sigloom.plans.signal import Base, Signal
 
 CHUNK = "_chunk"
+CHUNKS = 64
 
 
 def boundaries(signal: Signal, chunks: int) -> list[int]:
@@ -23,15 +24,25 @@ def boundaries(signal: Signal, chunks: int) -> list[int]:
     return sorted({int(c) for c in cuts})
 
 
+def _cuts(signal: Signal, chunks: int) -> tuple[list[int], dict[int, int]]:
+    """Boundaries and the messages of each chunk, found once for a base."""
+    base = signal.base
+    if base.chunks is None or base.chunks[0] != chunks:
+        cuts = boundaries(signal, chunks)
+        sizes = {r[0]: r[1] for r in _cut(signal, cuts).base.df.groupBy(CHUNK).count().collect()}  # one row a chunk
+        base.chunks = chunks, cuts, sizes
+    return base.chunks[1:]
+
+
 def _cut(signal: Signal, cuts: list[int]) -> Signal:
     """The signal with its chunk's number as its key. Boundaries are at most as many as chunks were asked for."""
     at = F.lit(0)
     for c in cuts:
         at = at + (F.col("t") >= F.lit(c)).cast("int")
-    return Signal(Base(signal.df().withColumn(CHUNK, at), (CHUNK,), signal.base.order), "v")
+    return Signal(Base(signal.df().withColumn(CHUNK, at), (CHUNK,), signal.base.order, strict=signal.base.strict), "v")
 
 
-def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunks: int = 64) -> Signal:
+def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunks: int = CHUNKS) -> Signal:
     """``operator``, which looks back at most ``n - 1`` messages, over a signal without keys.
 
     Chunks with fewer messages than that are merged into their neighbours before.
@@ -39,8 +50,7 @@ def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunk
     if signal.base.keys:
         raise ValueError("a keyed signal runs in parallel by its keys")
     signal = signal.solid()
-    cuts = boundaries(signal, chunks)
-    sizes = {r[0]: r[1] for r in _cut(signal, cuts).base.df.groupBy(CHUNK).count().collect()}  # one row a chunk
+    cuts, sizes = _cuts(signal, chunks)
     kept, held = [], sizes.get(0, 0)
     for i, c in enumerate(cuts, 1):
         if held >= n - 1:
@@ -52,20 +62,29 @@ def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunk
     rows = own.base.df.withColumn("_halo", F.lit(False))
     halo = own.base.df.withColumn("_back", F.row_number().over(tail)).where(F.col("_back") <= n - 1).where(F.col(CHUNK) < len(kept)).drop("_back")
     halo = halo.withColumn(CHUNK, F.col(CHUNK) + 1).withColumn("_halo", F.lit(True))
-    base = Base(rows.unionByName(halo), (CHUNK,), own.base.order)
+    base = Base(rows.unionByName(halo), (CHUNK,), own.base.order, strict=own.base.strict)
     out = operator(Signal(base, "v"))
     if out.base is not base:
         raise ValueError("only operators that keep their messages' times and rows can run in chunks")
     out = out.where(~F.col("_halo"))
-    return Signal(Base(out.base.df.where(out.valid).select(*own.base.order, out.v.alias("v")), (), own.base.order), "v")
+    rows = out.base.df.where(out.valid).select(*own.base.order, out.v.alias("v"))
+    return Signal(Base(rows, (), own.base.order, strict=own.base.strict), "v")
 
 
-def running_sum(signal: Signal, chunks: int = 64) -> Signal:
-    """The cumulative sum of a signal without keys: sums within chunks on top of the totals of those before."""
+def running(signal: Signal, total: Callable[[Column], Column], join: Callable[[Column, Column], Column], start: float, chunks: int = CHUNKS) -> Signal:
+    """A running aggregate of a signal without keys: that of the chunk, joined with that of all chunks before."""
     if signal.base.keys:
         raise ValueError("a keyed signal runs in parallel by its keys")
-    own = _cut(signal.solid(), boundaries(signal.solid(), chunks))
-    totals = own.base.df.groupBy(CHUNK).agg(F.sum("v").alias("_sum"))  # one row a chunk
-    before = totals.select(CHUNK, F.coalesce(F.sum("_sum").over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
-    rows = own.base.df.withColumn("v", F.sum("v").over(own.base.window.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), CHUNK)
-    return Signal(Base(rows.select(*own.base.order, (F.col("v") + F.col("_before")).alias("v")), (), own.base.order), "v")
+    signal = signal.solid()
+    own = _cut(signal, _cuts(signal, chunks)[0])
+    sums = {r[0]: r[1] for r in own.base.df.groupBy(CHUNK).agg(total(F.col("v"))).collect()}  # one row a chunk
+    lists = F.array(*[F.array(*[F.lit(float(sums[k])) for k in range(i) if sums.get(k) is not None], F.lit(start)) for i in range(max(sums, default=0) + 1)])
+    before = F.aggregate(F.element_at(lists, F.col(CHUNK) + 1), F.lit(start), lambda a, b: join(a, b))
+    here = total(F.col("v")).over(own.base.window.rowsBetween(Window.unboundedPreceding, 0))
+    rows = own.base.df.select(CHUNK, *own.base.order, F.coalesce(here, F.lit(start)).alias("_here"))
+    return Signal(Base(rows.select(*own.base.order, join(before, F.col("_here")).alias("v")), (), own.base.order, strict=own.base.strict), "v")
+
+
+def running_sum(signal: Signal, chunks: int = CHUNKS) -> Signal:
+    """The cumulative sum of a signal without keys."""
+    return running(signal, F.sum, lambda a, b: a + b, 0.0, chunks)

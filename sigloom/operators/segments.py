@@ -87,3 +87,11 @@ def keyed_pipeline(source: Signal, body: Callable[[Signal], Signal], key_index:
     order = tuple(c for c in out.base.order)
     rows = out.base.df.select(*source.base.keys, *order, value.alias("v"))
     return Signal(Base(rows, source.base.keys, order), "v")
+
+
+def new_keys(source: Signal, key_index: int) -> Signal:
+    """Each key of a vector signal at the time it is first seen: what a host is told when a keyed pipeline starts one."""
+    source = source.solid()
+    keys = source.base.keys
+    rows = source.base.df.select(*keys, "t", F.element_at(source.v, int(key_index) + 1).alias("v")).groupBy(*keys, "v").agg(F.min("t").alias("t"))
+    return Signal(Base(rows.select(*keys, "t", "v"), keys, ("t", "v")), "v")

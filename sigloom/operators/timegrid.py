@@ -52,6 +52,19 @@ def _index(t, origin, dt: int):
     return F.call_function("div", x - F.pmod(x, F.lit(int(dt)).cast("long")), F.lit(int(dt)).cast("long"))
 
 
+#: Numbers that one array holds when grid points are made.
+_BLOCK = 4096
+
+
+def _numbers(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` once for each whole number from its a to its b, as ``name``: by blocks first, so no array grows with a gap."""
+    block = lambda c: _index(F.col(c), F.lit(0).cast("long"), _BLOCK)
+    blocks = rows.withColumn("_block", F.explode(F.sequence(block("a"), block("b"))))
+    first = F.col("_block") * F.lit(_BLOCK).cast("long")
+    part = F.sequence(F.greatest(F.col("a"), first), F.least(F.col("b"), first + (_BLOCK - 1)))
+    return blocks.withColumn(name, F.explode(part)).drop("_block")
+
+
 def _pairs(s: Signal) -> DataFrame:
     s = s.solid()
     w = s.base.window
@@ -75,7 +88,7 @@ def resample_constant(s: Signal, interval: int, t0: int | None = None, snap_firs
     elif t0 is not None:
         since = F.when(F.col("pt").isNotNull(), F.greatest(since, F.lit(0).cast("long")))
     rows = rows.withColumns({"a": since, "b": upto}).where("a is not null and a <= b")
-    rows = rows.select(*keys, "t", "v", "pv", F.explode(F.sequence("a", "b")).alias("n"), origin.alias("o"))
+    rows = _numbers(rows, "n").select(*keys, "t", "v", "pv", "n", origin.alias("o"))
     at = F.col("o") + F.col("n") * dt
     value = F.col("v") if snap_first else F.when(at == F.col("t"), F.col("v")).otherwise(F.col("pv"))
     return Signal.of(rows.select(*keys, at.alias("t"), value.alias("v")), keys=keys)
@@ -96,7 +109,8 @@ def resample_hermite(s: Signal, interval: int) -> Signal:
     )
     rows = rows.where("n >= 3 and t3 is not null")
     since = F.when(F.col("n") == 3, F.lit(0).cast("long")).otherwise(_index(F.col("t1"), F.col("o"), dt) + 1)
-    rows = rows.withColumns({"a": since, "b": _index(F.col("t2"), F.col("o"), dt)}).where("a <= b").withColumn("k", F.explode(F.sequence("a", "b")))
+    rows = rows.withColumns({"a": since, "b": _index(F.col("t2"), F.col("o"), dt)}).where("a <= b")
+    rows = _numbers(rows, "k")
     g = F.col("o") + F.col("k") * dt
     u = (g - F.col("t1")).cast("double") / (F.col("t2") - F.col("t1")).cast("double")
     m1, m2 = (F.col("p2") - F.col("p0")) / 2, (F.col("p3") - F.col("p1")) / 2

@@ -13,6 +13,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import ieee
+from sigloom.operators.windows import frame
 from sigloom.plans.signal import Signal
 
 # Codes by name, in order, and how many inline arguments those have that take any.
@@ -102,9 +103,6 @@ def evaluate(source: Signal, program: list[tuple], pick, constants: list[float],
     w = base.window
     whole = w.rowsBetween(Window.unboundedPreceding, 0)
 
-    def last(n: int):
-        return w.rowsBetween(-(n - 1), 0)
-
     def kept(x: Column) -> Column:
         return F.col(base.add(x))
 
@@ -151,8 +149,8 @@ def evaluate(source: Signal, program: list[tuple], pick, constants: list[float],
                 out, _ = kept(F.coalesce(reduce(lambda a, b: a + b, terms), F.lit(0.0))), warm(n)
             else:
                 n = args[0]
-                f = {"MA_UPDATE": F.avg, "MSUM_UPDATE": F.sum, "STD_UPDATE": F.stddev_samp, "WIN_MIN": F.min, "WIN_MAX": F.max}[name]
-                out, _ = kept(F.when(base.count() >= n, F.coalesce(f(x).over(last(n)), F.lit(float("nan")))).otherwise(0.0)), warm(n)
+                kind = {"MA_UPDATE": "mean", "MSUM_UPDATE": "sum", "STD_UPDATE": "deviation", "WIN_MIN": "min", "WIN_MAX": "max"}[name]
+                out, _ = kept(F.when(base.count() >= n, F.coalesce(frame(base, x, n, kind), F.lit(float("nan")))).otherwise(0.0)), warm(n)
             stack.append(out)
     return outputs, flags
 

@@ -191,3 +191,32 @@ class Run:
             rows = rows.groupBy(F.col("t").alias("time")).agg(F.max_by("v", order).alias(name))
             out = out.join(rows, "time", "left")
         return out
+
+
+class Collector:
+    """A sink without bound: what signals gave, by port, gathered on the driver. For small results and tests."""
+
+    def __init__(self, signals: list[Signal]):
+        self.ports = [[(r["t"], r["v"]) for r in s.df().orderBy(*s.base.order).collect()] for s in signals]
+
+    def port(self, number: int) -> list[tuple]:
+        return self.ports[number]
+
+
+def pretty_print(results: str | dict) -> str:
+    """Results ({operator: {port: [{time, value}]}}, or as JSON) as lines for people."""
+    results = json.loads(results) if isinstance(results, str) else results
+    lines = []
+    for op, own in results.items():
+        for port, messages in own.items():
+            lines.append(f"{op}.{port}")
+            lines += [f"  {m['time']:>12}  {m['value']}" for m in messages]
+    return "\n".join(lines)
+
+
+def pretty_print_validation(found: str | dict) -> str:
+    """What ``validate`` or ``diagnose`` found as lines for people."""
+    found = json.loads(found) if isinstance(found, str) else found
+    if found["valid"]:
+        return "nothing is wrong"
+    return "\n".join([f"wrong: {found['error']}"] if "error" in found else [f"{e['code']} at {e['path'] or '/'}: {e['message']}" for e in found["errors"]])

@@ -26,6 +26,7 @@ class Base:
         """``arrival``: the column that tells in which order rows came; ``strict``: t is known to increase from row to row."""
         self.df, self.keys, self.order, self.arrival, self.strict = df, tuple(keys), tuple(order), arrival, strict
         self._count: str | None = None
+        self.chunks: tuple | None = None  # how chunks.py has cut it, if it has no keys
 
     def add(self, value: Column) -> str:
         name = f"_c{next(_NAMES)}"
@@ -150,9 +151,12 @@ def accepted(signals: list[Signal]) -> list[Signal]:
                 rows = base.df if s.valid is None else base.df.where(s.valid)
                 if base.arrival is not None:
                     rows = monotone(rows, "t", base.arrival, base.keys)
-                else:
+                elif base.keys:
                     ahead = F.lag("t").over(Window.partitionBy(*base.keys).orderBy("t", s.v))
                     rows = rows.withColumn("_ahead", ahead).where("_ahead is null or t > _ahead").drop("_ahead")
+                else:  # the same without a window over all rows
+                    whole = F.struct(s.v.alias("_v"), F.struct(*[c for c in rows.columns if c != "t"]).alias("_row"))
+                    rows = rows.groupBy("t").agg(F.min(whole).alias("_first")).select("t", "_first._row.*")
             else:  # several messages of one time have their order
                 rows = (base.df if s.valid is None else base.df.where(s.valid)).withColumn("_ahead", F.lag("t").over(base.window)).where("_ahead is null or t > _ahead").drop("_ahead")
             done[at] = Base(rows, base.keys, ("t",), strict=True)

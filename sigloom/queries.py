@@ -282,6 +282,7 @@ add("burst_aggregate", lambda sp, d: segments.burst_aggregate(vectors(sp, d), co
     f"WITH {_ISLANDS.format(key='CASE WHEN x1 > 2 THEN 1 ELSE 0 END')} SELECT user_id, t, nf AS k, {near('total')} AS total, CAST(n AS DOUBLE) AS n FROM o WHERE t IS NOT NULL", "k", "total", "n")
 add("keyed_sum", lambda sp, d: segments.keyed_pipeline(vectors(sp, d), lambda s: windows.cumulative_sum(scalar.vector_extract(s, 0)), 1), f"WITH {V_SQL} SELECT user_id, t, x1 AS k, {near('sum(x0) OVER (PARTITION BY user_id, x1 ORDER BY t ROWS UNBOUNDED PRECEDING)')} AS v FROM w", "k", "v")
 add("keyed_computed", lambda sp, d: segments.keyed_pipeline(vectors(sp, d, ()), lambda s: windows.count(scalar.vector_extract(s, 0)), None, [1, 2]), f"WITH {V_SQL} SELECT t, CAST(count(*) OVER (PARTITION BY x1, x2 ORDER BY t ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS v FROM w", "v")
+add("new_keys", lambda sp, d: segments.new_keys(vectors(sp, d), 1), f"WITH {V_SQL} SELECT user_id, min(t) AS t, x1 AS v FROM w GROUP BY user_id, x1")
 # --- grids
 HOUR = 3_600_000_000
 _GRID = f"WITH {E_SQL}, p AS (SELECT user_id, t, v, lag(t) OVER w AS pt, lag(v) OVER w AS pv, first_value(t) OVER w AS t1 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t))"

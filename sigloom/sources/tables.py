@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +30,25 @@ def read_csv(spark: SparkSession, path: str, scale_t: float = 1.0, scale_v: floa
     return rows
 
 
-def list_csv(folder: str) -> list[str]:
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".csv"))
+def _files(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    """Files of a folder in any store that Spark reads, by the end of their names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName() for f in found if f.isFile())
+    return [f"{folder.rstrip('/')}/{n}" for n in names if n.endswith(ending)]
 
 
-def list_programs(folder: str) -> list[str]:
+def list_csv(spark: SparkSession, folder: str) -> list[str]:
+    return _files(spark, folder, ".csv")
+
+
+def list_programs(spark: SparkSession, folder: str) -> list[str]:
     """The JSON files of a folder that are valid programs."""
-    out = []
-    for f in sorted(os.listdir(folder)):
-        if f.endswith(".json"):
-            with open(os.path.join(folder, f)) as file:
-                if validate(file.read())["valid"]:
-                    out.append(os.path.join(folder, f))
-    return out
+    return [f for f in _files(spark, folder, ".json") if validate(read_program(spark, f))["valid"]]
+
+
+def read_program(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def from_rows(spark: SparkSession, rows: list[list[float]], vector: bool = False) -> list[Signal]:
@@ -71,6 +76,25 @@ def to_json(outputs: dict[tuple[str, str], Signal]) -> str:
     return json.dumps(out)
 
 
+def in_and_out(data: DataFrame, outputs: dict[tuple[str, str], Signal]) -> DataFrame:
+    """One row (t, line) for each message of ``data`` (t, v): {"in": {time, value}, "out": {operator: {port: [{time, value}]}}} as JSON.
+
+    ``out`` holds what the program gave at the message's time; operators and ports without results are left out.
+    """
+    whole = None
+    for (op, port), s in outputs.items():
+        order = [F.col(c) for c in s.base.order]
+        rows = s.df().select(F.col("t"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.to_json(F.struct(F.col("t").alias("time"), F.col("v").alias("value"))).alias("m")).alias("m"))
+        port_rows = rows.groupBy("t").agg(F.sort_array(F.collect_list("m")).alias("m"))
+        port_rows = port_rows.select("t", F.lit(op).alias("op"), F.concat(F.lit(json.dumps(port) + ":["), F.array_join(F.transform("m", lambda m: m["m"]), ","), F.lit("]")).alias("p"))
+        whole = port_rows if whole is None else whole.unionByName(port_rows)
+    by_op = whole.groupBy("t", "op").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("p"))
+    by_op = by_op.select("t", F.concat(F.to_json(F.struct("op")).substr(F.lit(7), F.length(F.to_json(F.struct("op"))) - 7), F.lit(":{"), F.col("p"), F.lit("}")).alias("o"))
+    out = by_op.groupBy("t").agg(F.array_join(F.array_sort(F.collect_list("o")), ",").alias("o"))
+    given = F.to_json(F.struct(F.col("t").alias("time"), F.col("v").alias("value")))
+    return data.join(out, "t", "left").select("t", F.concat(F.lit('{"in":'), given, F.lit(',"out":{'), F.coalesce("o", F.lit("")), F.lit("}}")).alias("line"))
+
+
 def write_json(table: DataFrame, path: str) -> None:
     """A result table as JSON lines, written by the executors."""
     table.write.mode("overwrite").json(path)

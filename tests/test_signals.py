@@ -10,7 +10,7 @@ from sigloom.plans.interpreter import Machine, Node, load_machine, save_machine
 from sigloom.plans.program import ProgramError, compile_program, expand, load
 from sigloom.plans.session import Engine, Program, Run
 from sigloom.plans.signal import Signal, monotone, synced
-from sigloom.sources.tables import from_rows, list_programs, read_csv, to_json
+from sigloom.sources.tables import from_rows, list_csv, list_programs, read_csv, to_json
 
 
 def frame(spark, rows, kind="double"):
@@ -313,11 +313,41 @@ def test_csv_and_listing(spark, tmp_path):
     (tmp_path / "q.json").write_text("{}")
     rows = read_csv(spark, str(tmp_path / "a.csv"), scale_t=2).orderBy("t").collect()
     assert [tuple(r) for r in rows] == [(3, 2.25), (4, 263.42), (6, 4.0)]
-    assert list_programs(str(tmp_path)) == [str(tmp_path / "p.json")]
+    assert list_programs(spark, str(tmp_path)) == [str(tmp_path / "p.json")] and list_csv(spark, str(tmp_path)) == [str(tmp_path / "a.csv")]
     (s, _) = from_rows(spark, [[1, 2, 3], [2, 4, 5]])
     assert json.loads(to_json({("a", "o1"): s})) == {"a": {"o1": [{"time": 1, "value": 2.0}, {"time": 2, "value": 4.0}]}}
 
 
+def test_batch_runner(spark, tmp_path):
+    from sigloom.__main__ import main
+
+    (tmp_path / "a.csv").write_text("time,Open\n1,2.5\n2,3.5\n3,5\n")
+    program = Program().add_operator("in", "Input", portTypes=["number"]).add_operator("d", "Difference").connect("in", "d").add_output("d").add_output("in")
+    (tmp_path / "p.json").write_text(program.to_json())
+    main([str(tmp_path / "p.json"), str(tmp_path / "a.csv"), "--output", str(tmp_path / "out"), "--tail", "2"])
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(lines, key=lambda x: x["in"]["time"]) == [
+        {"in": {"time": 2, "value": 3.5}, "out": {"in": {"o1": [{"time": 2, "value": 3.5}]}}},
+        {"in": {"time": 3, "value": 5.0}, "out": {"d": {"o1": [{"time": 3, "value": 1.5}]}, "in": {"o1": [{"time": 3, "value": 5.0}]}}},
+    ]
+
+
+def test_prints_and_collector(spark):
+    from sigloom.plans.session import Collector, pretty_print, pretty_print_validation
+
+    assert Collector([frame(spark, [(2, 1.0), (1, 3.0)])]).port(0) == [(1, 3.0), (2, 1.0)]
+    assert pretty_print({"a": {"o1": [{"time": 1, "value": 2.0}]}}).split() == ["a.o1", "1", "2.0"]
+    assert "UNKNOWN" in pretty_print_validation({"valid": False, "errors": [{"code": "UNKNOWN", "path": "", "message": "m"}]}) and pretty_print_validation({"valid": True}) == "nothing is wrong"
+
+
+def test_long_gaps_in_grids(spark):
+    from sigloom.operators.timegrid import resample_constant
+
+    s = Signal.of(spark.createDataFrame([("k", 0, 1.0), ("k", 1_000_000, 2.0)], "k string, t long, v double"), keys=("k",))
+    rows = resample_constant(s, 1).df().selectExpr("count(*) AS n", "min(t) AS a", "max(t) AS b", "sum(v) AS s", "count(DISTINCT t) AS d").first()
+    assert tuple(rows) == (1_000_000, 1, 1_000_000, 1_000_001.0, 1_000_000)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from sigloom.streaming.host import run_stream
 
