@@ -94,4 +94,4 @@ def new_keys(source: Signal, key_index: int) -> Signal:
     source = source.solid()
     keys = source.base.keys
     rows = source.base.df.select(*keys, "t", F.element_at(source.v, int(key_index) + 1).alias("v")).groupBy(*keys, "v").agg(F.min("t").alias("t"))
-    return Signal(Base(rows.select(*keys, "t", "v"), keys, ("t", "v")), "v")
+    return Signal(Base(rows.select(*keys, "t", "v"), keys, strict=True), "v")
