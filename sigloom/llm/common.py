@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space of all contracts: space and 0x09-0x0D.
@@ -25,10 +27,23 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix for working columns that none of ``columns`` starts with, in whatever case."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in columns), default=0))
+
+
+def id_type(df: DataFrame, id_col: str) -> T.DataType:
+    """The type that ids are worked with: long for whole numbers, else their own."""
+    kind = df.schema[id_col].dataType
+    return T.LongType() if isinstance(kind, T.IntegralType) else kind
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a fresh local one where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local master may do without it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster has to name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sigloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -164,14 +179,14 @@ def with_arrow(df: DataFrame, needs: list[str], fields: list, fn, slice_bytes: i
 
     ``fn`` takes one list of Python values per needed column and returns one list per field. It
     sees slices of at most ``slice_bytes`` (one larger row comes alone), so memory stays bounded
-    whatever the batch size. Columns of ``df`` named like a field are replaced.
+    whatever the batch size. Columns of ``df`` named like a field, in whatever case, are replaced.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
     names = [f.name for f in fields]
-    own = [f for f in df.schema.fields if f.name not in names]
+    own = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in names}]
     kinds = [to_arrow_type(f.dataType) for f in fields]
     at = [df.columns.index(c) for c in needs]
     keep = [df.columns.index(f.name) for f in own]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import BLANKS, staged
+from sigloom.llm.common import BLANKS, free_prefix, staged
 
 
 def token_count(text: Column) -> Column:
@@ -72,7 +72,7 @@ def mix_sources(docs: DataFrame, budget_share: float = 1.0, target_entropy: floa
     places and stand on one side of the cut together; an empty table stays empty.
     """
     names = ("n_tokens", "weight", "copies", "block")
-    own = docs.drop(*names)
+    own = docs.drop(*[c for c in docs.columns if c.lower() in names])
     place = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.coalesce(F.col(text), F.lit("")))
     own = own.withColumn("n_tokens", token_count(F.col(text)))
     narrow = staged(own.select(F.col(source).alias("s"), "n_tokens", place.alias("p")), "places")
@@ -98,11 +98,14 @@ def mix_sources(docs: DataFrame, budget_share: float = 1.0, target_entropy: floa
             state[r["s"]][level + 1] = r["at"]
             state[r["s"]][0] = r["left"]
     final = [(s, *state[s], w, k) for (s, _), w, k in zip(totals, weights, whole, strict=True)]
-    final = spark.createDataFrame(final, T.StructType([*fields, T.StructField("_weight", T.DoubleType()), T.StructField("_whole", T.IntegerType())]))
-    b1, b2 = _bits(F.col("_p"), 52), _bits(F.col("_p"), 40)
-    extra = (b1 < F.col("_b1")) | (b1 == F.col("_b1")) & ((b2 < F.col("_b2")) | (b2 == F.col("_b2")) & (_signed(F.col("_p")) <= F.col("_cut")))
-    out = own.withColumn("_p", place).join(F.broadcast(final), F.col(source).eqNullSafe(F.col("_s")))
-    return out.select(*own.columns, F.col("_weight").alias("weight"), (F.col("_whole") + F.coalesce(extra, F.lit(False)).cast("int")).alias("copies"), b1.alias("block"))
+    tag = free_prefix(own.columns)
+    fields = [*fields, T.StructField("_weight", T.DoubleType()), T.StructField("_whole", T.IntegerType())]
+    final = spark.createDataFrame(final, T.StructType([T.StructField(tag + f.name, f.dataType) for f in fields]))
+    of = lambda name: F.col(f"{tag}_{name}")
+    b1, b2 = _bits(of("p"), 52), _bits(of("p"), 40)
+    extra = (b1 < of("b1")) | (b1 == of("b1")) & ((b2 < of("b2")) | (b2 == of("b2")) & (_signed(of("p")) <= of("cut")))
+    out = own.withColumn(f"{tag}_p", place).join(F.broadcast(final), F.col(source).eqNullSafe(of("s")))
+    return out.select(*own.columns, of("weight").alias("weight"), (of("whole") + F.coalesce(extra, F.lit(False)).cast("int")).alias("copies"), b1.alias("block"))
 
 
 def _signed(place: Column) -> Column:

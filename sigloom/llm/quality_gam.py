@@ -207,14 +207,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, held_out:
 
     The sample is bounded, as its labels and 20 features a document are all that reaches the driver:
     the documents with the smallest hash of their id are taken, whatever the size of the input.
-    Several labels of one document count with their mean; null labels and ids are left out.
+    Several labels of one document count with their mean; null labels and ids are left out; ids are
+    compared as texts, so they may be of any type; of equal ids in ``docs`` one row counts. Without
+    any label the model is a constant one.
     """
+    ident, held, words = F.col(id_col).cast("string"), "id", "words"
     own = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(fold(id_col) != held_out)
-    own = own.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.avg(F.col(label).cast("double")).alias("_y"))
-    own = own.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(own), "_id")
-    rows = with_arrow(rows, ["_text"], [T.StructField("_x", T.ArrayType(T.DoubleType()))], lambda t: ([features(b) for b in utf8(t)],)).select("_id", "_y", "_x")
-    rows = rows.groupBy("_id").agg(F.min(F.struct("_y", "_x")).alias("r")).select("_id", "r._y", "r._x")
+    own = own.groupBy(ident.alias(held)).agg(F.avg(F.col(label).cast("double")).alias("y"))
+    own = own.orderBy(F.xxhash64(held), held).limit(max_train)
+    rows = docs.select(ident.alias(held), F.col(text).alias(words)).join(F.broadcast(own), held)
+    rows = with_arrow(rows, [words], [T.StructField("x", T.ArrayType(T.DoubleType()))], lambda t: ([features(b) for b in utf8(t)],)).select(held, "y", "x")
+    rows = rows.groupBy(held).agg(F.min(F.struct("y", "x")).alias("r")).select(held, "r.y", "r.x")
     got = sorted(rows.collect())
     return fit(np.array([r[2] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got]))
 

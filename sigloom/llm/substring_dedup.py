@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import mix64, powers, prefix_hash, shuffle_width, slices, staged, utf8, with_arrow
+from sigloom.llm.common import free_prefix, mix64, powers, prefix_hash, shuffle_width, slices, staged, utf8, with_arrow
 from sigloom.llm.grouping import suffix_arrays
 
 GRAM = 32
@@ -324,14 +324,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", id_co
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else in any
     text, the same one included; matches never cross texts and are judged on the input. Texts are
     taken as UTF-8; null is empty, and a text shorter than ``length`` bytes is kept whole. Equal
-    rows are copies of each other. Other columns pass through; those named like a result are replaced.
+    rows are copies of each other; ids may be null or of any type; an empty table stays empty. Other columns pass through; those named like a result are replaced.
     """
     found = repeated_spans(docs, length, text=text, id_col=id_col, **settings)
     names = ("kept", "n_bytes", "n_removed", "removed")
-    own = docs.drop(*[n for n in names if n not in (text, id_col)])
-    keys = [k.alias(f"_{n}") for k, n in zip(_row_keys(text, id_col), ("r1", "r2"), strict=True)]
-    found = found.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("spans").alias("_spans"))
-    joined = own.select("*", *keys).join(found, ["_r1", "_r2"], "left").drop("_r1", "_r2")
+    own = docs.drop(*[c for c in docs.columns if c.lower() in names and c not in (text, id_col)])
+    r1, r2, at = (free_prefix(own.columns) + n for n in ("r1", "r2", "spans"))
+    keys = [k.alias(n) for k, n in zip(_row_keys(text, id_col), (r1, r2), strict=True)]
+    found = found.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("spans").alias(at))
+    joined = own.select("*", *keys).join(found, [r1, r2], "left").drop(r1, r2)
     ranges = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", ranges)]
 
@@ -347,4 +348,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", id_co
             rows.append((b"".join(kept), len(raw), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in gone]))
         return list(map(list, zip(*rows, strict=True))) if rows else [[], [], [], []]
 
-    return with_arrow(joined, [text, "_spans"], fields, fn).drop("_spans")
+    return with_arrow(joined, [text, at], fields, fn).drop(at)

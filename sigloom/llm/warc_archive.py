@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import slices
+from sigloom.llm.common import free_prefix, slices
 
 # Fixed values of the Zstandard format and of the WARC dictionary convention.
 FRAME_MAGIC = 0xFD2FB528
@@ -85,15 +85,17 @@ class Writer:
 def mark_revisits(pages: DataFrame, min_bytes: int = 100, id_col: str = "page_id", html: str = "html") -> DataFrame:
     """``pages`` with ``payload_digest`` and ``refers_to``, the smallest id with an equal payload (null: a response).
 
-    Only digests are grouped, with partial aggregation; those that repeat come back by an equi-join.
+    Only digests are grouped, with partial aggregation; those that repeat come back by an equi-join,
+    whose other side AQE splits where a page is very common.
     """
+    first_id = free_prefix(pages.columns) + "first"
     body = F.coalesce(F.col(html), F.lit(""))
     tagged = pages.drop("payload_digest", "refers_to").withColumn("payload_digest", F.sha2(body, 256))
     long = F.octet_length(body) >= min_bytes
-    first = tagged.where(long).groupBy("payload_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    first = tagged.where(long).groupBy("payload_digest").agg(F.min(id_col).alias(first_id), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     out = tagged.join(first, "payload_digest", "left")
-    other = long & ~F.col(id_col).eqNullSafe(F.col("_first"))
-    return out.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_first")
+    other = long & ~F.col(id_col).eqNullSafe(F.col(first_id))
+    return out.withColumn("refers_to", F.when(other, F.col(first_id))).drop(first_id)
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 100, archive_bytes: int = 8 << 20, sample: int = 256, level: int = 3, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
