@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import mix64, shingle_sets, slices, staged, utf8
+from sigloom.llm.common import id_type, mix64, shingle_sets, slices, staged, utf8
 
 TOKENS = 64
 LEADERS = 8  # of a large node
@@ -54,8 +54,9 @@ def sketch(texts: list[bytes], words: int) -> tuple[np.ndarray, list[bytes], np.
 
 def signatures(docs: DataFrame, words: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, cid, k1, tokens): the set size, the class of equal sets, a text hash and the tokens of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k1"), F.col(text).alias("text"))
-    schema = "doc_id long, n_shingles long, cid binary, k1 long, tokens binary"
+    kind = id_type(docs, id_col)
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k1"), F.col(text).alias("text"))
+    schema = f"doc_id {kind.simpleString()}, n_shingles long, cid binary, k1 long, tokens binary"
 
     def run(batches):
         import pyarrow as pa
@@ -226,7 +227,7 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
         pairs = tagged.where("lead is not null").select("lead", "cid").distinct()
         stars = staged(_confirm_stars(pairs, texts, words, percent, node_size), "stars").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
         # pairs within one component have nothing to add: members apart from their node's first leader are open
-        roots = staged(components(stars), "roots")
+        roots = staged(labels(stars), "roots")
         open_ = tagged.select("path", "cid", "n", "first").join(roots.select(F.col("node").alias("cid"), F.col("root").alias("own")), "cid", "left")
         open_ = open_.join(roots.select(F.col("node").alias("first"), F.col("root").alias("theirs")), "first", "left")
         own = F.coalesce("own", "cid")
@@ -251,7 +252,7 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text: str, id_col: str) -> DataFrame:
     """(cid, text) of one document of each wanted class."""
     reps = classes.join(wanted.distinct(), "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("_id"), F.col("rep.k1").alias("_k1"))
-    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast(id_type(docs, id_col)).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
     both = rows.join(reps, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_k1") == F.col("_key")))
     return both.select("cid", "text").dropDuplicates(["cid"])
 
@@ -328,6 +329,19 @@ def _confirm_blocks(blocks: DataFrame, texts: DataFrame, words: int, percent: in
     return whole.groupBy("path", "part", "ask").applyInArrow(run, "a binary, b binary")
 
 
+def labels(links: DataFrame, rounds: int = 3) -> DataFrame:
+    """(node, root): for every node of ``links`` (a, b) the smallest node that it reaches in ``rounds`` steps.
+
+    Nodes of one root are connected; connected ones may still have different roots.
+    """
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    out = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
+    for _ in range(rounds - 1):
+        near = both.join(out, both["v"] == out["node"]).select("u", "root").unionByName(out.select(F.col("node").alias("u"), "root"))
+        out = near.groupBy("u").agg(F.min("root").alias("root")).select(F.col("u").alias("node"), "root")
+    return out
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the undirected ``links`` (a, b); the root is the smallest node reachable.
 
@@ -362,7 +376,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, node_siz
 
     Defined cases: null and empty texts and those without words have an empty set and stay alone;
     equal rows are linked like any copies; a null doc_id never is the smallest, and a row is kept
-    where its doc_id is the component's. Other columns are left out.
+    where its doc_id is the component's; ids may be of any type that has an order; an empty table
+    stays empty. Other columns are left out.
     """
     sig = staged(signatures(docs, words, text, id_col), "sig")
     classes, links = similar_links(docs, sig, words, percent, node_size, block, text=text, id_col=id_col)
