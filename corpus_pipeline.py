@@ -3,6 +3,9 @@
 ``STAGES`` lists (name, function) pairs; each function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``; the last adds the mix: n_tokens, weight, copies, block.
+
+Any column may be null, other columns are left out whatever their names, an empty table stays empty;
+what nulls, ties and repeated rows give is said of each stage.
 """
 
 from __future__ import annotations
@@ -21,19 +24,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model accepts; it learns from labels of the same documents."""
+    """Documents that the quality model accepts; it learns from labels of the same documents.
+
+    A null text is scored as an empty one; equal rows are kept or dropped together; without labels
+    the model is constant (0.5) and accepts none.
+    """
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
     return quality_gam.score(docs, model, threshold=0.7).where("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines that ten or more of them hold; ``n_chars`` follows the text."""
+    """All documents without the lines that ten or more of them hold; ``n_chars`` follows the text.
+
+    No row goes; a null text stays null; rows with one id are one document, those without an id are
+    told apart by their texts.
+    """
     out = dedup_lines(docs, min_docs=10, min_chars=1)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest doc_id, nulls last; rows without words all stay."""
+    """One row of each group of near copies: the one with the smallest doc_id, nulls last; rows without words all stay.
+
+    Equal rows are copies, so one of them stays; of rows with one id and different texts that are
+    near copies, one stays by a hash of the row.
+    """
     key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS])
     keyed = docs.select(*COLUMNS).withColumn("_row", key)
     near = near_duplicates(keyed, words=5, percent=80, id_col="_row")
@@ -47,12 +62,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents that hold no item of the benchmark. Null and empty texts hold none; equal rows go or stay together."""
     return find_leaks(docs, table(spark, sf_dir, "benchmark"), words=5, overlap=0.8).where(F.size("hits") == 0).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with how often each is to be read: as flat over sources as four repetitions allow."""
+    """All documents with how often each is to be read: as flat over sources as four repetitions allow.
+
+    No row goes: those past their source's cut have 0 copies. A null source is a source; equal rows
+    have equal copies; a text without words has no tokens.
+    """
     return mix_sources(docs, budget_share=1.0, repetition=4.0).select(*COLUMNS, "n_tokens", "weight", "copies", "block")
 
 
