@@ -168,7 +168,14 @@ _SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)
 
 
 def parse(media: bytes) -> list[Scan]:
-    """The images in ``media``, one behind the other; ValueError where a marker is wrong or missing."""
+    """The images in ``media``, one behind the other; ValueError for a wrong marker, a short segment or a missing table."""
+    try:
+        return _images(media)
+    except (KeyError, IndexError, struct.error) as wrong:
+        raise ValueError(f"a segment is short or a table is missing: {wrong}") from wrong
+
+
+def _images(media: bytes) -> list[Scan]:
     at, out = 0, []
     while at < len(media):
         if media[at : at + 2] != b"\xff\xd8":
@@ -222,11 +229,14 @@ def parse(media: bytes) -> list[Scan]:
 
 
 _LOOKUPS: dict = {}
+_MOST_LOOKUPS = 64  # a megabyte each
 
 
 def _lookup(table, dc: bool) -> tuple[np.ndarray, np.ndarray]:
     """By the next 16 bits: bits used (0: invalid), and the symbol; for DC symbols the code's length alone."""
     if (table, dc) not in _LOOKUPS:
+        if len(_LOOKUPS) >= _MOST_LOOKUPS:
+            _LOOKUPS.clear()
         used, symbol = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
         for code, length, s in canonical(*table):
             low = code << (16 - length)
