@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import BLANKS, ascii_lower
+from sigloom.llm.common import BLANKS, ascii_lower, free_prefix
 
 
 def line_key(line: Column) -> Column:
@@ -22,26 +22,28 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
 
     Adds ``n_lines`` (before dropping) and ``n_dropped``; all other columns pass through.
 
-    Lines are exploded, normalised and hashed to 128 bits; each row counts once for a key however
-    often it holds it. Only hashes are counted (partial aggregation first, so a line that a third
-    of all rows holds costs one partial row a task) and joined back (a plain equi-join, which AQE
-    splits where a key is hot); the positions that hit are then gathered per document and the kept
-    lines put together by position. Texts are shuffled at most once, by document.
+    Lines are exploded, normalised and hashed to 128 bits; each document (id) counts once for a key
+    however often it holds it. Only hashes are counted: first what is distinct by key and document,
+    dealt by both, then partial counts by key, so a line that a third of all rows holds gathers in
+    no task. They are joined back by a plain equi-join, which AQE splits where a key is hot; the
+    positions that hit are then gathered per row and the kept lines put together by position. Texts
+    are shuffled at most once, by row.
 
     Defined cases: a null or empty text is one empty line; an empty key is shorter than any
-    ``min_chars`` of 1 or more and always stays; each row is a document, so equal rows count each;
-    a null id is a value like any other; columns with names used here are kept, as working columns
+    ``min_chars`` of 1 or more and always stays; rows with one id are one document, and rows without
+    an id are told apart by their texts; an empty table stays empty; columns with names used here are kept, as working columns
     start with an underscore and are renamed where they clash with the input's.
     """
     own = docs.columns
-    tag = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in own), default=0))
+    tag = free_prefix(own)
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(body, "\n", -1)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null"))
     row = [F.xxhash64(ident, body).alias("r1"), F.xxhash64(F.lit(1), ident, body).alias("r2")]
 
-    keys = docs.select(F.explode(F.array_distinct(F.transform(lines, line_key))).alias("k")).where(F.char_length("k") >= max(1, min_chars))
-    common = keys.select(*_hashes(F.col("k"))).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("_h1", "_h2")
+    document = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(2), body)).otherwise(F.xxhash64(F.col(id_col).cast("string")))
+    keys = docs.select(document.alias("d"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("k")).where(F.char_length("k") >= max(1, min_chars))
+    common = keys.select("d", *_hashes(F.col("k"))).groupBy("_h1", "_h2").agg(F.count_distinct("d").alias("n")).where(F.col("n") >= min_docs).select("_h1", "_h2")
 
     placed = docs.select(*row, F.posexplode(lines).alias("pos", "line")).select("r1", "r2", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= max(1, min_chars)).select("r1", "r2", "pos", *_hashes(F.col("k")))
     hits = placed.join(common, ["_h1", "_h2"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("pos").alias("hit"))
