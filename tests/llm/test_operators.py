@@ -78,9 +78,54 @@ def test_line_dedup(spark):
     assert "_h1" in got[0].asDict() and dedup_lines(docs(spark, []), 3).count() == 0
 
 
-def test_line_dedup_counts_rows_and_null_ids(spark):
+def test_line_dedup_counts_documents_and_null_ids(spark):
     df = spark.createDataFrame([(None, "x\ny"), (None, "x"), (1, "x"), (1, "x")], "doc_id long, text string")
-    assert sorted((r["n_lines"], r["n_dropped"], r["text"]) for r in dedup_lines(df, 4).collect()) == [(1, 1, ""), (1, 1, ""), (1, 1, ""), (2, 1, "y")]
+    assert sorted((r["n_lines"], r["n_dropped"], r["text"]) for r in dedup_lines(df, 3).collect()) == [(1, 1, ""), (1, 1, ""), (1, 1, ""), (2, 1, "y")]
+    assert all(r["n_dropped"] == 0 for r in dedup_lines(df, 4).collect())
+    twice = spark.createDataFrame([(i % 5, "common") for i in range(10)], "doc_id long, text string")
+    assert all(r["n_dropped"] == 0 for r in dedup_lines(twice, 10).collect()) and all(r["n_dropped"] == 1 for r in dedup_lines(twice, 5).collect())
+
+
+# --- columns with the names that operators work with, ids that are texts, long texts, empty tables
+
+WORKING = ["_p", "_s", "_rest", "_b1", "_b2", "_cut", "_weight", "_whole", "_first", "_n", "_r1", "_r2", "_spans", "_h1", "_h2", "_id", "_x", "_text", "_row", "_again", "Score", "KEPT", "Hits", "N_Tokens", "Feature"]
+
+
+def odd_table(spark, texts):
+    rows = [(f"id{i}", t, f"s{i % 2}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    return df.select("*", *[F.lit(n).alias(n) for n in WORKING])
+
+
+LONG = words(200_000, 1) + "\n" + words(200_000, 2)
+
+
+@pytest.mark.parametrize("texts", [[], [*ODD, LONG, LONG]], ids=["empty", "odd"])
+def test_clashing_names_text_ids_long_texts(spark, texts):
+    df = odd_table(spark, texts)
+    labels = spark.createDataFrame([(f"id{i}", i % 2) for i in range(8)], "doc_id string, quality int")
+    bench = spark.createDataFrame([("b", words(40, 3)), (None, words(9, 1) + "\n")], "item_id string, text string")
+    pages = df.select(F.xxhash64("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *WORKING)
+    results = {
+        "op1": quality_gam.score(df, quality_gam.train(df, labels)),
+        "op3": jpeg_media.thumbnail_columns(jpeg_media.to_media(df).drop("text")),
+        "op4": decontaminate.find_leaks(df, bench),
+        "op5": remove_repeats(df, 400),
+        "op7": secret_scan.find_secrets(df),
+        "op8": dedup_lines(df, 3),
+        "op9": mixing.mix_sources(df),
+    }
+    for name, out in results.items():
+        rows = out.collect()
+        assert len(rows) == len(texts), name
+        assert all(r[n] == n for r in rows[:3] for n in WORKING if n not in ("Score", "KEPT", "Hits", "N_Tokens", "Feature")), name
+    near = near_duplicates(df, 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in near} == {r["doc_id"]: ("id10" if r["doc_id"] == "id11" else "id7" if r["doc_id"] == "id8" else r["doc_id"]) for r in near} and len(near) == len(texts)
+    assert warc_archive.read_archives(staged(warc_archive.write_archives(pages), "t")).count() == len(texts)
+    assert extract_text(pages).count() == len(texts)
+    if texts:
+        cut = {r["doc_id"]: r for r in results["op5"].collect()}
+        assert cut["id10"]["n_removed"] == cut["id11"]["n_removed"] == len(LONG) and cut["id6"]["n_removed"] == 5000
 
 
 # --- JPEG
@@ -128,6 +173,18 @@ def test_jpeg_reader_takes_other_tables_and_wrong_bytes():
             jpeg_media.thumbnails(jpeg_media.parse(bad))
 
 
+def test_damaged_jpegs_raise_value_errors():
+    (media,) = jpeg_media.encode([bytes(range(256)) * 3])
+    rng, failed = random.Random(3), 0
+    cut = [media[:n] for n in range(0, len(media), 7)]
+    for bad in cut + [media[:i] + bytes([rng.randrange(256)]) + media[i + 1 :] for i in range(0, 700, 3)]:
+        try:
+            jpeg_media.parse(bad)
+        except ValueError:
+            failed += 1
+    assert failed > 50
+
+
 def test_jpeg_columns(spark):
     df = docs(spark, ODD).withColumn("feature", F.lit(0))
     rows = jpeg_media.thumbnail_columns(jpeg_media.to_media(df)).orderBy("doc_id").collect()
@@ -226,6 +283,82 @@ def test_secret_escapes_in_place():
     assert secret_scan.scan(cases[0])[1] == [(0, len(cases[0]), "assign")]
 
 
+def plain_base(text):
+    """The base patterns by a scan over all starts."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    out = []
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assign(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(word)].translate(str.maketrans(letters[:26], letters[26:52])) == word:
+                break
+        else:
+            return None
+        at += len(word)
+        for quote in (1, 0):  # as greedy as the pattern, with its ways back
+            p = at
+            if quote:
+                if text[p : p + 1] not in ('"', "'") or not text[p : p + 1]:
+                    continue
+                p += 1
+            p = run(p, " ")
+            if text[p : p + 1] not in (":", "=") or not text[p : p + 1]:
+                continue
+            p = run(p + 1, " ")
+            if text[p : p + 1] in ('"', "'") and text[p : p + 1]:
+                p += 1
+            end = run(p, letters + "+/_.=-")
+            if end > p:
+                return end, end - p >= 8
+        return None
+
+    for kind in ("assign", "access", "hex"):
+        at = 0
+        while at < len(text):
+            got = None
+            if kind == "assign":
+                got = assign(at)
+            elif kind == "access" and text.startswith("AKIA", at):
+                end = run(at + 4, letters[:26] + letters[52:])
+                got = (end, end - at >= 16) if end > at + 4 else None
+            elif kind == "hex":
+                end = run(at, "0123456789abcdef")
+                got = (end, end - at >= 32) if end > at else None
+            if got:
+                if got[1]:
+                    out.append((at, got[0], kind))
+                at = got[0]
+            else:
+                at += 1
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return sorted(out, key=lambda x: (x[0], order[x[2]]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "TOKEN", "Api_key", "apikey", "secret", "passwd", "=", ":", " ", '"', "'", "abcdefgh", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef", "é", "ſ", "_", "-x/", "\n"]), max_size=30))
+def test_secret_base_spans_by_a_plain_scan(parts):
+    text = "".join(parts)
+    assert secret_scan.base_spans(text) == plain_base(text)
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    n = 1_000_000
+    for text in ("a" * n + " 100%", "-_" * (n // 2), "%41" * (n // 3), "\\u0041" * (n // 6), "x" * n):
+        began = time.process_time()
+        secret_scan.scan(text)
+        assert time.process_time() - began < 10
+    pair = "".join(f"\\u{ord(c):04x}" for c in "token=abcdefgh12") + "\\ud83d\\ude00"
+    assert len(secret_scan.scan(pair)[1]) == 1 and next(secret_scan.unwrap(pair, 1 << 20))[0] == "token=abcdefgh12😀"
+
+
 def test_secret_columns(spark):
     texts = [*ODD, "token: abcdefgh12"]
     rows = secret_scan.find_secrets(docs(spark, texts).withColumn("secret_spans", F.lit(1))).orderBy("doc_id").collect()
@@ -339,6 +472,47 @@ def test_gam_learns_and_scores():
     assert constant.score(x[:3]).tolist() == [0.5] * 3
 
 
+def test_scores_are_sums_of_tables(spark):
+    # the whole query against a plain loop: features, then one table look-up a feature and a pair
+    import bisect
+
+    texts = [words(5 + 7 * i, i).replace("w1", "W1" if i % 3 else "w1") + ("!!##" * (i % 5)) for i in range(60)] + ODD
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 5 < 2)) for i in range(60)], "doc_id long, quality int")
+    model = quality_gam.train(df, labels)
+    assert any(t.any() for t in model.single)
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality_gam.score(df, model, 0.4).collect()}
+    for i, text in enumerate(texts):
+        x = quality_gam.features((text or "").encode())
+        assert np.allclose(x, plain_features((text or "").encode()), rtol=1e-12, atol=1e-12)
+        total = model.base + sum(t[bisect.bisect_right(e.tolist(), v)] for t, e, v in zip(model.single, model.edges, x, strict=True))
+        total += sum(t[bisect.bisect_right(model.coarse[a].tolist(), x[a]), bisect.bisect_right(model.coarse[b].tolist(), x[b])] for a, b, t in model.pairs)
+        want = 1 / (1 + math.exp(-total))
+        assert abs(got[i][0] - want) < 1e-9 and got[i][1] == int(want >= 0.4)
+    # the sample: labelled documents outside the held-out fold, and no others
+    few = quality_gam.train(df, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"))
+    assert few.score(np.zeros((1, 20))).tolist() == [0.5]
+
+
+def plain_features(text):
+    """The features of one text by plain Python."""
+    n = len(text)
+    if not n:
+        return [0.0] * 20
+    tokens, k = text.split(), len(text.split())
+    has = lambda chars: sum(b in chars for b in text)
+    upper, lower, high = sum(65 <= b <= 90 for b in text), sum(97 <= b <= 122 for b in text), sum(b >= 128 for b in text)
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    counts, ends = Counter(tokens), b"#$%&*+/<=>@[\\]^_`{|}~!"
+    pairs = [(a, b) for a, b in zip(tokens, tokens[1:], strict=False)]
+    share = lambda some: sum(some) / k if k else 0.0
+    return [
+        math.log1p(n), math.log1p(k), share(len(t) for t in tokens), upper / max(upper + lower + high, 1), has(b"0123456789") / n, has(b"#$%&*+/<=>@[\\]^_`{|}~") / n, has(b".!?") / n, has(b",;:'\"()-") / n, has(b" \t\r\x0b\f") / n, has(b"\n") / n,
+        high / n, -sum(c / n * math.log2(c / n) for c in Counter(text).values()), len(counts) / k if k else 0.0, (len(set(pairs)) / len(pairs) if pairs else 1.0) if k else 0.0, max(counts.values()) / k if k else 0.0, len(set(lines)) / max(len(lines), 1),
+        math.log1p(n / max(len(lines), 1)), share(len(t) <= 2 for t in tokens), share(len(t) >= 14 for t in tokens), share(t[-1] in ends for t in tokens),
+    ]
+
+
 def test_quality_columns(spark):
     good, bad = [words(60, i) + "." for i in range(60)], [" ".join(f"W{j}!!$$" for j in range(50))] * 60
     texts = [*good, *bad, *ODD]
@@ -415,8 +589,10 @@ def test_components(spark):
         if a != b and up[a] != up[b]:
             low, high = min(up[a], up[b]), max(up[a], up[b])
             up = {k: low if v == high else v for k, v in up.items()}
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == up
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r["node"]: r["root"] for r in components(df).collect()} == up
+    near = {r["node"]: r["root"] for r in near_dedup.labels(df.where("a != b")).collect()}
+    assert near.keys() == up.keys() and all(up[v] == up[k] for k, v in near.items()) and near[160] == 157
 
 
 def test_tree_plan():
@@ -465,18 +641,36 @@ def test_retrieval_is_whole():
     hashes, counts = word_hashes([t.encode() for t in texts])
     found = index.retrieve(hashes, counts)
     assert all(any(index.ids[k] == i for k in own) for i, own in enumerate(found))
-    # every item at or above its threshold, by scoring all items for all passages of one text
-    k, at = 17, int(counts[:17].sum())
-    own = hashes[at : at + counts[17]].tolist()
-    want = set()
-    for s in range(0, len(own), decontaminate.STRIDE):
-        terms = {index.at[t] for t in own[s : s + decontaminate.PASSAGE] if t in index.at}
-        score = Counter()
-        for t in terms:
-            for item, w in index.lists[t]:
-                score[item] += w
-        want |= {i for i, v in score.items() if v >= index.least[i] + 1e-9}
-    assert want <= set(found[k])
+    # every item at or above its threshold, by scoring all items for all passages
+    weights = [dict(zip(*(x.tolist() for x in index._own(i)), strict=True)) for i in range(len(items))]
+    at = 0
+    for k, n in enumerate(counts.tolist()):
+        own, want = hashes[at : at + n].tolist(), set()
+        for s in range(0, n, decontaminate.STRIDE):
+            passage = set(own[s : s + decontaminate.PASSAGE])
+            want |= {i for i, w in enumerate(weights) if sum(w[x] for x in passage if x in w) >= index.least[i] + 1e-9}
+        assert want <= set(found[k])
+        at += n
+    assert found == index.retrieve(hashes, counts, cells=50)
+
+
+def test_large_benchmark_in_parts(spark):
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(200_000)}" for _ in range(24))) for i in range(20_000)]
+    index = decontaminate.Index(items)
+    bytes_of_items = sum(len(x) + 16 for _, x in items)
+    assert index.nbytes < 25 * bytes_of_items and len(index.live_block) < 24 * len(items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs(spark, [f"{words(50, i)} {items[997 * i][1]} {words(30, 90 + i)}" if i % 2 else words(300, i) for i in range(20)])
+    got = [[[(h["item_id"], round(h["bm25"], 9)) for h in r["hits"]] for r in decontaminate.find_leaks(df, bench, part_bytes=b).orderBy("doc_id").collect()] for b in (64 << 20, bytes_of_items // 3)]
+    assert got[0] == got[1] and [[i for i, _ in r] for r in got[0]] == [[997 * i] if i % 2 else [] for i in range(20)]
+
+
+def test_leaks_of_text_ids(spark):
+    bench = spark.createDataFrame([("a-1", words(30, 3)), (None, words(30, 4)), ("b", "")], "item_id string, text string")
+    found = decontaminate.find_leaks(docs(spark, [f"{words(30, 3)} x {words(30, 4)}", "y", None]).withColumn("Hits", F.lit(1)), bench).orderBy("doc_id").collect()
+    assert [[h["item_id"] for h in r["hits"]] for r in found] == [["a-1", None], [], []]
 
 
 # --- substrings
@@ -510,13 +704,13 @@ def plain_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("most", [48, 2])
-def test_remove_repeats(spark, most):
+@pytest.mark.parametrize(("most", "levels"), [(48, 4), (2, 4), (2, 1), (1, 2)])
+def test_remove_repeats(spark, most, levels):
     shared, other = words(30, 7), "é" * 30 + words(10, 8)
     texts = [*ODD[:6], "x" * 300, "same same", "same same", shared, f"{words(20, 1)} {shared} {words(5, 2)}", f"{words(9, 3)} {shared[:150]}Q{shared[150:]}", other, other + "!", words(15, 4) * 3]
     texts += [f"{words(6, 20 + i)} {shared} {words(6, 40 + i)}" for i in range(5)]
     df = docs(spark, texts).withColumn("kept", F.lit(1))
-    rows = remove_repeats(df, 60, most_contexts=most).orderBy("doc_id").collect()
+    rows = remove_repeats(df, 60, most_contexts=most, levels=levels).orderBy("doc_id").collect()
     assert [(r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in rows] == plain_repeats(texts, 60)
     assert remove_repeats(docs(spark, []), 60).count() == 0
 
@@ -556,5 +750,27 @@ def test_mixing(spark):
         mixing.mix_sources(df, max_sources=2)
 
 
+def test_mixing_by_a_plain_sort(spark):
+    # copies: whole repetitions, and one more for the head of the source's permutation that the rest pays for
+    rows = [(i, words(1 + i % 9, i), "ab"[i % 7 == 0]) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    place = F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    places = {r["doc_id"]: r["p"] % (1 << 64) for r in df.select("doc_id", place.alias("p")).collect()}
+    for budget, repetition in ((1.0, 1.5), (0.3, 4.0), (2.5, None)):
+        got = {r["doc_id"]: r for r in mixing.mix_sources(df, budget_share=budget, repetition=repetition).collect()}
+        tokens = {i: len(t.split()) for i, t, _ in rows}
+        goal = budget * sum(tokens.values())
+        for s in "ab":
+            own = sorted((i for i, _, x in rows if x == s), key=places.__getitem__)
+            n, weight = sum(tokens[i] for i in own), got[own[0]]["weight"]
+            whole = int(goal * weight // n)
+            left, want = int(goal * weight - whole * n), {}
+            for i in own:
+                left -= tokens[i]
+                want[i] = whole + int(left >= 0)
+            assert {i: got[i]["copies"] for i in own} == want
+            assert all(got[i]["block"] == places[i] >> 52 for i in own)
+
+
 def test_entities_are_those_of_the_standard():
     assert main_text("<p>&lt;b&gt; &copy &notit; &#0; &hellip;</p>") == html.unescape("&lt;b&gt; &copy &notit; &#0; &hellip;")

@@ -52,3 +52,21 @@ def test_near_copies_keep_one_row_of_a_component(spark):
     got = pipeline.near_copies(spark, docs, "").collect()
     assert sorted((str(r["doc_id"]), r["text"] and r["text"].split()[0]) for r in got if r["text"]) == sorted([("7", one.split()[0]), ("None", two.split()[0]), ("6", words(1, 3))])
     assert sorted(str(r["doc_id"]) for r in got if not r["text"]) == ["5", "5", "None"]
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([(1, words(40, 1))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row long, _first string, Score double"
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, words(30, 5), None, None, 9), (2, words(30, 5), None, None, 9), (3, words(90_000, 6), "en", "s", 1), (4, " \n\t", "en", "t", 3)]
+    for data in ([], [(*r, 7, "x", 0.5) for r in rows]):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns[:5] == COLUMNS and out.count() <= len(data), name
+        kept = pipeline.near_copies(spark, docs, "").collect()
+        assert len(kept) == (6 if data else 0)  # one of the equal documents goes, rows without words stay
+        mixed = pipeline.mix(spark, docs, "").collect()
+        assert len(mixed) == len(data)
