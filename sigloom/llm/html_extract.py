@@ -35,7 +35,7 @@ INLINE = frozenset(
 #: Elements that are not rendered as text.
 DROPPED = frozenset("head script style template noscript iframe object embed applet svg math canvas audio video map select option datalist".split())
 #: Elements that hold no part of an article, whatever their density.
-CHROME = frozenset("nav footer aside menu dialog button form".split())
+CHROME = frozenset("nav footer aside menu dialog button form label legend".split())
 #: Start tags that end an open p.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
