@@ -42,8 +42,8 @@ def _cut(signal: Signal, cuts: list[int]) -> Signal:
     return Signal(Base(signal.df().withColumn(CHUNK, at), (CHUNK,), signal.base.order, strict=signal.base.strict), "v")
 
 
-def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunks: int = CHUNKS) -> Signal:
-    """``operator``, which looks back at most ``n - 1`` messages, over a signal without keys.
+def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunks: int = CHUNKS, ahead: int = 0) -> Signal:
+    """``operator``, which looks back at most ``n - 1`` messages and ``ahead`` messages forward, over a signal without keys.
 
     Chunks with fewer messages than that are merged into their neighbours before.
     """
@@ -53,7 +53,7 @@ def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunk
     cuts, sizes = _cuts(signal, chunks)
     kept, held = [], sizes.get(0, 0)
     for i, c in enumerate(cuts, 1):
-        if held >= n - 1:
+        if held >= max(n - 1, ahead):
             kept.append(c)
             held = 0
         held += sizes.get(i, 0)
@@ -62,6 +62,7 @@ def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunk
     rows = own.base.df.withColumn("_halo", F.lit(False))
     halo = own.base.df.withColumn("_back", F.row_number().over(tail)).where(F.col("_back") <= n - 1).where(F.col(CHUNK) < len(kept)).drop("_back")
     halo = halo.withColumn(CHUNK, F.col(CHUNK) + 1).withColumn("_halo", F.lit(True))
+    halo = halo.unionByName(_next(own, ahead)) if ahead else halo
     base = Base(rows.unionByName(halo), (CHUNK,), own.base.order, strict=own.base.strict)
     out = operator(Signal(base, "v"))
     if out.base is not base:
@@ -71,6 +72,13 @@ def windowed(signal: Signal, n: int, operator: Callable[[Signal], Signal], chunk
     return Signal(Base(rows, (), own.base.order, strict=own.base.strict), "v")
 
 
+def _next(own: Signal, ahead: int):
+    """The first ``ahead`` messages of each chunk as those behind the chunk before it."""
+    head = Window.partitionBy(CHUNK).orderBy(*own.base.order)
+    rows = own.base.df.withColumn("_front", F.row_number().over(head)).where((F.col("_front") <= ahead) & (F.col(CHUNK) > 0)).drop("_front")
+    return rows.withColumn(CHUNK, F.col(CHUNK) - 1).withColumn("_halo", F.lit(True))
+
+
 def running(signal: Signal, total: Callable[[Column], Column], join: Callable[[Column, Column], Column], start: float, chunks: int = CHUNKS) -> Signal:
     """A running aggregate of a signal without keys: that of the chunk, joined with that of all chunks before."""
     if signal.base.keys:

@@ -67,10 +67,10 @@ def frame(base: Base, x: Column, n: int, kind: str) -> Column:
     return F.sqrt(square / (n - 1))
 
 
-def _parallel(s: Signal, n: int, make: Callable[[Signal], Signal]) -> Signal:
-    """``make``, which looks back n - 1 messages: by keys, or in chunks of time where there are none."""
+def _parallel(s: Signal, n: int, make: Callable[[Signal], Signal], ahead: int = 0) -> Signal:
+    """``make``, which looks back n - 1 messages and ``ahead`` forward: by keys, or in chunks of time where there are none."""
     s = s.solid()
-    return make(s) if s.base.keys or n < 1 else chunks.windowed(s, n, make)
+    return make(s) if s.base.keys or n < 1 else chunks.windowed(s, n, make, ahead=ahead)
 
 
 def _framed(s: Signal, n: int, kind: str) -> Signal:
@@ -109,21 +109,29 @@ def difference(s: Signal, newer_time: bool = True) -> Signal:
     """To the message before, at the newer time, or at the older one."""
     if newer_time:
         return _parallel(s, 2, lambda own: own.full(2, own.v - F.lag(own.v).over(own.base.window)))
-    s = s.solid()
-    return s.map(F.lead(s.v).over(s.base.window) - s.v).where(F.lead(F.col("t")).over(s.base.window).isNotNull())
+
+    def older(own: Signal) -> Signal:
+        w = own.base.window
+        return own.map(F.lead(own.v).over(w) - own.v).where(F.lead(F.col("t")).over(w).isNotNull())
+
+    return _parallel(s, 1, older, ahead=1)
 
 
 def peaks(s: Signal, n: int) -> Signal:
     """Messages greater than all others in the odd window around them, at their own time."""
     if n < 3 or n % 2 == 0:
         raise ValueError("a peak needs an odd window of 3 or more")
-    s, h = s.solid(), (n - 1) // 2
-    before, after = s.base.window.rowsBetween(-h, -1), s.base.window.rowsBetween(1, h)
-    plain = F.when(~F.isnan(s.v), s.v)
-    top = lambda w: F.coalesce(F.max(plain).over(w), F.lit(float("-inf")))
-    whole = (F.count(F.lit(1)).over(before) == h) & (F.count(F.lit(1)).over(after) == h)
-    beats = (s.v > top(before)) & (s.v > top(after)) | F.isnan(s.v)
-    return s.where(whole & beats)
+    h = (n - 1) // 2
+
+    def make(own: Signal) -> Signal:
+        before, after = own.base.window.rowsBetween(-h, -1), own.base.window.rowsBetween(1, h)
+        plain = F.when(~F.isnan(own.v), own.v)
+        top = lambda w: F.coalesce(F.max(plain).over(w), F.lit(float("-inf")))
+        whole = (F.count(F.lit(1)).over(before) == h) & (F.count(F.lit(1)).over(after) == h)
+        beats = (own.v > top(before)) & (own.v > top(after)) | F.isnan(own.v)
+        return own.where(whole & beats)
+
+    return _parallel(s, h + 1, make, ahead=h)
 
 
 def fir(s: Signal, coefficients: list[float]) -> Signal:

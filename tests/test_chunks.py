@@ -38,7 +38,7 @@ def test_chunks_equal_one_window(spark, rows):
     assert got(windows.count(s)) == plain({"type": "CountNumber"}, messages)
 
 
-@pytest.mark.parametrize("kind", ["MovingAverage", "CumulativeSum", "CountNumber", "StandardDeviation", "MaxTracker", "Difference"])
+@pytest.mark.parametrize("kind", ["MovingAverage", "CumulativeSum", "CountNumber", "StandardDeviation", "MaxTracker", "Difference", "PeakDetector"])
 def test_no_single_task_for_signals_without_keys(spark, kind):
     program = Program().add_operator("in", "Input", portTypes=["number"]).add_operator("x", kind, window_size=5).connect("in", "x").add_output("x")
     df = spark.createDataFrame(walk(300, 4), "t long, v double")
@@ -47,6 +47,12 @@ def test_no_single_task_for_signals_without_keys(spark, kind):
     assert got(out) == plain({"type": kind, "window_size": 5}, walk(300, 4))
 
 
+def test_older_differences_in_chunks(spark):
+    messages = walk(100, 5)
+    s = Signal.of(spark.createDataFrame(messages, "t long, v double"))
+    assert got(windows.difference(s, False)) == plain({"type": "Difference", "use_oldest_time": False}, messages)
+
+
 @pytest.mark.parametrize(("kind", "spec"), [("mean", {"type": "MovingAverage"}), ("sum", {"type": "MovingSum"}), ("deviation", {"type": "StandardDeviation"}), ("min", {"type": "WindowMinMax", "mode": "min"}), ("max", {"type": "WindowMinMax", "mode": "max"})])
 @pytest.mark.parametrize("n", [2, 7, 60])
 def test_frames_in_blocks(spark, monkeypatch, kind, spec, n):
