@@ -58,17 +58,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Staged tables by their frames, which are kept so that an id stays theirs.
+_STAGED: dict[int, tuple[DataFrame, str]] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     This cuts the lineage, so a lost executor costs a re-read and no recomputation, and branches
-    that share a stage do its work once. The table is removed when the driver exits.
+    that share a stage do its work once. The table is removed by ``unstage`` or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sigloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[id(out)] = out, path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes staged tables that no plan reads any more; others are left alone."""
+    for table in tables:
+        _, path = _STAGED.pop(id(table), (None, None))
+        if path:
+            _remove(table.sparkSession, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

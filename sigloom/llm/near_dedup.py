@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import id_type, mix64, shingle_sets, slices, staged, utf8
+from sigloom.llm.common import id_type, mix64, shingle_sets, slices, staged, unstage, utf8
 
 TOKENS = 64
 LEADERS = 8  # of a large node
@@ -199,7 +199,7 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
     # no set outside these nodes is ever compared, so texts are fetched once
     texts = staged(_texts(docs, classes, nodes.select("cid"), text, id_col), "texts")
     small = nodes.where(F.col("size") <= node_size).join(marks, "cid").groupBy("path").agg(F.collect_list(F.struct("cid", "n", "marks")).alias("members"))
-    large, stars, blocks = nodes.where(F.col("size") > node_size), None, None
+    large, stars, blocks, more = nodes.where(F.col("size") > node_size), None, None, []
     if not large.isEmpty():
         # tie the members of large nodes to the most similar of a few leaders each, on full sets
         tagged = large.join(marks, "cid")
@@ -225,9 +225,11 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
 
         tagged = staged(tagged.mapInArrow(near, "path long, cid binary, n long, lead binary, first binary"), "leaders")
         pairs = tagged.where("lead is not null").select("lead", "cid").distinct()
-        stars = staged(_confirm_stars(pairs, texts, words, percent, node_size), "stars").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
+        found = staged(_confirm_stars(pairs, texts, words, percent, node_size), "stars")
+        stars = found.select(F.col("lead").alias("a"), F.col("cid").alias("b"))
         # pairs within one component have nothing to add: members apart from their node's first leader are open
         roots = staged(labels(stars), "roots")
+        more = [tagged, found, roots]
         open_ = tagged.select("path", "cid", "n", "first").join(roots.select(F.col("node").alias("cid"), F.col("root").alias("own")), "cid", "left")
         open_ = open_.join(roots.select(F.col("node").alias("first"), F.col("root").alias("theirs")), "first", "left")
         own = F.coalesce("own", "cid")
@@ -245,8 +247,10 @@ def similar_links(docs: DataFrame, sig: DataFrame, words: int, percent: int, nod
     members = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid")).distinct()
     links = members.join(texts, "cid").groupBy("g").applyInArrow(_within(words, percent), "a binary, b binary")
     if blocks is not None:
-        links = links.unionByName(stars).unionByName(_confirm_blocks(blocks, texts, words, percent, block))
-    return classes, staged(links.distinct(), "links")
+        links = links.unionByName(stars).unionByName(_confirm_blocks(staged(blocks, "blocks"), texts, words, percent, block))
+    links = staged(links.distinct(), "links")
+    unstage(marks, nodes, texts, groups, *more)
+    return classes, links
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -305,7 +309,6 @@ def _confirm_blocks(blocks: DataFrame, texts: DataFrame, words: int, percent: in
 
     Members of one component (root) need no comparison, so only links between roots are found.
     """
-    blocks = staged(blocks, "blocks")
     weight = lambda n: F.ceil(F.col(n) / block).cast("long")
     count = blocks.groupBy("path").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("q"), F.col("n"))).alias("open")).where("open > 0")
     count = count.select("path", weight("all").alias("parts"), weight("open").alias("asks"))
@@ -361,7 +364,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = staged(small, "edges")
+        before, edges = edges, staged(small, "edges")
+        unstage(before)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
