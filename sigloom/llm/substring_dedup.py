@@ -15,7 +15,9 @@ gram stands at one place of the context, so equal windows have equal bytes aroun
 around it in every window of a quarter of all offsets is compared first.
 
 A key with more than ``most_contexts`` different contexts is cut again by a further key of its
-windows under another hash, which parts them without parting equal windows.
+windows under another hash, which parts them without parting equal windows. A key that still has
+more than ``largest`` contexts after all further keys is cut into single windows, keyed by a hash of
+all their bytes, so what a task holds of one key is bounded, however alike texts are.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import free_prefix, mix64, powers, prefix_hash, shuffle_width, slices, staged, utf8, with_arrow
+from sigloom.llm.common import free_prefix, mix64, powers, prefix_hash, shuffle_width, slices, staged, unstage, utf8, with_arrow
 from sigloom.llm.grouping import suffix_arrays
 
 GRAM = 32
@@ -261,50 +263,72 @@ def _cut(docs: DataFrame, contexts: DataFrame, length: int, text: str, id_col: s
     return rows.mapInArrow(run, "h long, k long, weight long, g int, context binary")
 
 
-def _parted(contexts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(h, k, weight, off, w, h2, k2, g, context): contexts cut by a further key of their windows."""
+def singles(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``runs``: every window of one text as a context of its own, with two hashes of its bytes as its key and its content, and its first bytes as the gram."""
+    p = prefix_hash(data)
+    _, down = powers(len(data))
+    n = len(data) - length + 1
+    h = (p[length:] - p[:-length]) * down[:n]
+    return np.arange(n), np.ones(n, np.int64), mix64(h), mix64(h ^ np.uint64(length)), np.zeros(n, np.int64)
+
+
+def _parted(contexts: DataFrame, length: int, seed: int | None) -> DataFrame:
+    """(h, k, weight, off, w, h2, k2, g, context): contexts cut by a further key of their windows, or without a seed into these."""
+    names = ["h", "k", "weight", "off", "w", "h2", "k2", "g", "context"]
+
     def run(batches):
         import pyarrow as pa
 
-        names = ["h", "k", "weight", "off", "w", "h2", "k2", "g", "context"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+        def packed(rows):
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                out = []
+                out, size = [], 0
                 for h, k, weight, c in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                    for lo, w, key, content, g in zip(*(x.tolist() for x in runs(np.frombuffer(c, np.uint8), length, seed)), strict=True):
-                        key = int(mix64(np.array([key ^ (h & (1 << 64) - 1)], np.uint64)).view(np.int64)[0])
-                        out.append((h, k, weight, lo, w, key, content - (1 << 64) if content >> 63 else content, g, c[lo : lo + w + length - 1]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                columns = zip(*out, strict=True) if out else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+                    data = np.frombuffer(c, np.uint8)
+                    lo, w, key, content, g = singles(data, length) if seed is None else runs(data, length, seed)
+                    key = mix64(key ^ np.uint64(h & (1 << 64) - 1)).view(np.int64)
+                    for x, n, key2, k2, place in zip(lo.tolist(), w.tolist(), key.tolist(), content.view(np.int64).tolist(), g.tolist(), strict=True):
+                        out.append((h, k, weight, x, n, key2, k2, place, c[x : x + n + length - 1]))
+                        size += n + length
+                        if size > 8 << 20:
+                            yield packed(out)
+                            out, size = [], 0
+                yield packed(out)
 
     return contexts.select("h", "k", "weight", "context").mapInArrow(run, "h long, k long, weight long, off int, w int, h2 long, k2 long, g int, context binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, most_contexts: int = 48, levels: int = 4, batch_bytes: int = 12 << 20, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, most_contexts: int = 48, levels: int = 4, largest: int = 4096, batch_bytes: int = 12 << 20, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(r1, r2, spans): by row key the byte ranges [a, b) that repeated windows cover, not yet merged."""
     every = staged(occurrences(docs, length, text, id_col), "occurrences")
     shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("g")).where("c > 1 or g < 0").select("h")
     occur = staged(every.join(shared, "h", "left_semi").select("r1", "r2", "lo", "w", "h", "k", "g"), "shared")
+    unstage(every)
     heads = occur.groupBy("h", "k").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("r1", "r2", "lo", "w", "g")).alias("at"))
     contexts = staged(_cut(docs, heads, length, text, id_col), "contexts")
     spans = None
-    for level in range(1, levels + 1):
-        many = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most_contexts).select("h")
-        last = level == levels or many.isEmpty()
+    for level in range(1, levels + 2):
+        many = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > (most_contexts if level < levels else largest)).select("h")
+        last = level > levels or many.isEmpty()
         sorted_here = contexts if last else contexts.join(many, "h", "left_anti")
         found = _sorted_groups(sorted_here, length, batch_bytes)
         hit = occur.join(found, ["h", "k"]).select("r1", "r2", F.explode(F.transform("repeated", lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"] + (length - 1)).alias("b")))).alias("s"))
         spans = hit if spans is None else spans.unionByName(hit)
         if last:
             break
-        parts = staged(_parted(contexts.join(many, "h", "left_semi"), length, level), f"parts{level}")
+        parts = staged(_parted(contexts.join(many, "h", "left_semi"), length, level if level < levels else None), f"parts{level}")
         again = parts.groupBy("h2").agg(F.sum("weight").alias("c"), F.min("g").alias("g")).where("c > 1 or g < 0").select("h2")
         parts = parts.join(again, "h2", "left_semi")
         places = parts.select("h", "k", "off", F.col("w").alias("w2"), "h2", "k2").distinct()
         occur = staged(occur.join(places, ["h", "k"]).select("r1", "r2", (F.col("lo") + F.col("off")).alias("lo"), F.col("w2").alias("w"), F.col("h2").alias("h"), F.col("k2").alias("k")), f"shared{level}")
         contexts = staged(parts.groupBy(F.col("h2").alias("h"), F.col("k2").alias("k")).agg(F.sum("weight").alias("weight"), F.max("g").alias("g"), F.max("context").alias("context")), f"contexts{level}")
-    return spans.groupBy("r1", "r2").agg(F.collect_list("s").alias("spans"))
+    # equal rows share a key and have equal spans, so a set holds no more than one text has
+    return spans.groupBy("r1", "r2").agg(F.collect_set("s").alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
