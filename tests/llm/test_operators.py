@@ -704,13 +704,13 @@ def plain_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize(("most", "levels"), [(48, 4), (2, 4), (2, 1), (1, 2)])
-def test_remove_repeats(spark, most, levels):
+@pytest.mark.parametrize(("most", "levels", "largest"), [(48, 4, 4096), (2, 4, 2), (2, 1, 2), (1, 2, 1)])
+def test_remove_repeats(spark, most, levels, largest):
     shared, other = words(30, 7), "é" * 30 + words(10, 8)
     texts = [*ODD[:6], "x" * 300, "same same", "same same", shared, f"{words(20, 1)} {shared} {words(5, 2)}", f"{words(9, 3)} {shared[:150]}Q{shared[150:]}", other, other + "!", words(15, 4) * 3]
     texts += [f"{words(6, 20 + i)} {shared} {words(6, 40 + i)}" for i in range(5)]
     df = docs(spark, texts).withColumn("kept", F.lit(1))
-    rows = remove_repeats(df, 60, most_contexts=most, levels=levels).orderBy("doc_id").collect()
+    rows = remove_repeats(df, 60, most_contexts=most, levels=levels, largest=largest).orderBy("doc_id").collect()
     assert [(r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in rows] == plain_repeats(texts, 60)
     assert remove_repeats(docs(spark, []), 60).count() == 0
 
