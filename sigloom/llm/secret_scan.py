@@ -33,11 +33,12 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{2,7});|&#[xX]([0-9A-Fa-f]{2,6});")
+_UNICODE_ONE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{2,7});|&#[xX]([0-9A-Fa-f]{2,6});")
 _URL_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
-_URL_RUN = re.compile(r"[^\s\"<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"<>%]*)+")
+#: What ends a run with URL escapes: blanks, quotes, angle brackets, and a percent sign that starts none.
+_URL_END = re.compile(r"[\s\"<>]|%(?![0-9A-Fa-f]{2})")
 _BYTE_RUN = re.compile(r"(?:\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x9c\xda])[\x00-\xff]+")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]")
 _PIECE, _OVERLAP = 1 << 16, 1 << 16
@@ -227,13 +228,26 @@ def _url(m: re.Match):
 
 
 def _unicode(m: re.Match):
-    if m.lastindex == 4 or m.lastindex == 5:
+    if m.lastindex == 2:
+        point = 0x10000 + ((int(m[1], 16) & 0x3FF) << 10 | int(m[2], 16) & 0x3FF)
+        return [(chr(point), m.start(), m.end())]
+    if m.lastindex > 5:
         got = html.unescape(m[0])
         return [(ch, m.start(), m.end()) for ch in got]
     point = int(m[m.lastindex], 16)
     return [(chr(point), m.start(), m.end())] if point <= 0x10FFFF and not 0xD800 <= point < 0xE000 else None
 
 
+def _url_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs that hold URL escapes, each looked at once."""
+    at = 0
+    for m in chain(_URL_END.finditer(text), [None]):
+        end = m.start() if m else len(text)
+        if text.find("%", at, end) >= 0:
+            yield at, end
+        at = m.end() if m else end
+
+
 def unwrap(text: str, most: int):
     """(decoded, starts, ends) of what a layer unwraps to; starts and ends tell for each character its part of the layer.
 
@@ -259,12 +273,12 @@ def unwrap(text: str, most: int):
                 if part != data:
                     yield _whole(part, m.start(), m.end())
     if "%" in text:
-        for m in _URL_RUN.finditer(text):
-            data = urllib.parse.unquote_to_bytes(m[0])
+        for start, end in _url_runs(text):
+            data = urllib.parse.unquote_to_bytes(text[start:end])
             for at in _MAGIC.finditer(data):
                 for part in contents(data[at.start() :], most):
                     if part != data[at.start() :]:
-                        yield _whole(part, m.start(), m.end())
+                        yield _whole(part, start, end)
     for m in _BYTE_RUN.finditer(text):
         data = m[0].encode("latin-1")
         for at in _MAGIC.finditer(data):
@@ -320,7 +334,8 @@ def joined(spans) -> str:
 def find_secrets(docs: DataFrame, text: str = "text", max_layer_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with ``base_spans`` and ``secret_spans``, arrays of (start, end, kind) over the whole text.
 
-    A null or empty text has no spans. Spans are code points, end exclusive, by start and then kind;
+    A null or empty text has no spans; equal rows have equal spans each; an empty table stays empty.
+    Spans are code points, end exclusive, by start and then kind;
     equal spans of several layers are one. Other columns pass through.
     """
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
