@@ -19,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sigloom.llm import decontaminate, html_extract, jpeg_media, mixing, near_dedup, quality_gam, secret_scan, warc_archive
+from sigloom.llm import decontaminate, html_extract, jpeg_media, mixing, near_dedup, quality_gam, secret_scan, substring_dedup, warc_archive
 from sigloom.llm.common import shingle_sets, staged, word_hashes
 from sigloom.llm.grouping import suffix_arrays
 from sigloom.llm.html_extract import extract_text, main_text
@@ -715,6 +715,23 @@ def test_remove_repeats(spark, most, levels, largest):
     assert remove_repeats(docs(spark, []), 60).count() == 0
 
 
+def test_contexts_of_a_key_stay_together_behind_a_join(spark):
+    # such a join is broadcast once its small side is known, and its other side then read as it was written, not by key
+    core = [words(30, 100 + i).encode() for i in range(40)]
+    rows = [(i, 2 * i + j, 1, -1, f"{j} ".encode() + c) for j in range(2) for i, c in enumerate(core)]
+    few = spark.range(100_000).where("id % 50000 = 49999").select(F.col("id").alias("h"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        contexts = spark.createDataFrame(rows, "h long, k long, weight long, g int, context binary").repartition(8)
+        found = substring_dedup._sorted_groups(contexts.join(few, "h", "left_anti"), 60, 1 << 20).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted((r["h"], r["k"]) for r in found) == sorted((h, k) for h, k, *_ in rows)
+
+
 # --- mixing
 
 
