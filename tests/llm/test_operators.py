@@ -732,6 +732,22 @@ def test_contexts_of_a_key_stay_together_behind_a_join(spark):
     assert sorted((r["h"], r["k"]) for r in found) == sorted((h, k) for h, k, *_ in rows)
 
 
+def test_remove_repeats_stages_one_table_a_level(spark, monkeypatch):
+    # an executor starts processes for each file it writes, and a fork in progress counts as a second copy of its memory
+    made = []
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name: made.append((name, out := staged(df, name))) or out)
+    shared = words(30, 7)
+    texts = [f"{words(6, 20 + i)} {shared} {words(6, 40 + i)}" for i in range(20)] + [words(40, 8)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = remove_repeats(docs(spark, texts), 60, most_contexts=2, levels=3, largest=2).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in rows] == plain_repeats(texts, 60)
+    assert [name for name, _ in made] == ["occurrences", "shared", "contexts", "parts1", "parts2", "parts3"]
+    assert all(len(table.inputFiles()) == 1 for name, table in made if name.startswith("parts"))
+
+
 # --- mixing
 
 
